@@ -1,6 +1,9 @@
 """All registered queries; importing a section registers its entries."""
 
-from tonemark.plans import metric_queries  # noqa: F401
+from tonemark.plans import (  # noqa: F401
+    metric_queries,
+    source_queries,
+)
 from tonemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
