@@ -71,18 +71,39 @@ def take_by_hash(
     *,
     tie: str = "clip_id",
     rank_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Per group, keep the rows with the smallest hashes.
 
-    `quota` maps the group's size to the number of rows kept. Rows in slices
-    below the cut-off slice are kept without ranking; only the cut-off slice of
-    each group is ranked, so the work per task does not grow with the group.
-    Adds `group_n` and `quota_n`.
+    `quota` maps the group's size to the number of rows kept. The size of the
+    largest group is checked first (or passed in, with `group_n` already on the
+    rows). If one task can rank it, a window does. Otherwise every group is cut
+    into slices of the hash space: slices below the cut-off are kept without
+    ranking and only the cut-off slice is ranked, so the work per task does not
+    grow with the group. Adds `group_n` and `quota_n`.
     """
     rank_rows = rank_rows or RANK_ROWS
     groups = list(groups)
-    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n"))
-    sized = lookup_join(rows, sizes, groups, count_col="group_n", spread_by=hash_col)
+    if largest is None:
+        sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n"))
+        largest = sizes.agg(F.max("group_n")).first()[0] or 0
+        sized = None
+    else:
+        sized = rows
+    wanted = F.least(quota(F.col("group_n")), F.col("group_n")).cast("bigint")
+    if largest <= rank_rows:
+        whole = Window.partitionBy(*groups)
+        counted = (
+            rows.withColumn("group_n", F.count(F.lit(1)).over(whole)) if sized is None else sized
+        )
+        return (
+            counted.withColumn("quota_n", wanted)
+            .withColumn("_rank", F.row_number().over(whole.orderBy(hash_col, tie)))
+            .where(F.col("_rank") <= F.col("quota_n"))
+            .drop("_rank")
+        )
+    if sized is None:
+        sized = lookup_join(rows, sizes, groups, count_col="group_n", spread_by=hash_col)
     sliced = sized.withColumn("_slice", hash_bucket(hash_col, F.col("group_n"), rank_rows))
     filled = (
         sliced.groupBy(*groups, "_slice")
@@ -95,7 +116,7 @@ def take_by_hash(
                 )
             ),
         )
-        .withColumn("quota_n", F.least(quota(F.col("group_n")), F.col("group_n")).cast("bigint"))
+        .withColumn("quota_n", wanted)
     )
     cut = filled.where(F.col("_upto") >= F.col("quota_n")).groupBy(*groups).agg(
         F.min("_slice").alias("_cut"),
@@ -114,6 +135,43 @@ def take_by_hash(
     )
 
 
+def hash_cut(
+    rows: DataFrame, hash_col: str, tie: str, k: Column, *, rank_rows: int | None = None
+) -> Column:
+    """The k-th smallest (hash, tie) of the table as a struct column.
+
+    Only the slice of the hash space that holds rank k is sorted; rows are then
+    compared with the result instead of being ranked.
+    """
+    rank_rows = rank_rows or RANK_ROWS
+    total = one_row(rows.agg(F.count(F.lit(1)).alias("n"))).getField("n")
+    sliced = rows.select(hash_col, tie, hash_bucket(hash_col, total, rank_rows).alias("_slice"))
+    tally = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_c"))
+    running = tally.withColumn("_one", F.lit(0)).withColumn(
+        "_upto",
+        F.sum("_c").over(
+            Window.partitionBy("_one").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
+        ),
+    )
+    spot = (
+        running.withColumn("_k", k)
+        .where(F.col("_upto") >= F.col("_k"))
+        .agg(
+            F.min("_slice").alias("slice"),
+            F.min_by(F.col("_k") - F.col("_upto") + F.col("_c"), "_slice").alias("need"),
+        )
+    )
+    at = one_row(spot)
+    inside = sliced.where(F.col("_slice") == at.getField("slice"))
+    ranked = inside.withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("_slice").orderBy(hash_col, tie))
+    )
+    found = ranked.where(F.col("_rank") == at.getField("need")).agg(
+        F.min(F.struct(hash_col, tie)).alias("cut")
+    )
+    return one_row(found).getField("cut")
+
+
 def global_hash_order(
     rows: DataFrame, hash_col: str, *, tie: str, rank_rows: int | None = None
 ) -> DataFrame:

@@ -65,9 +65,17 @@ class Views:
 
     def scored(self, solutions=("A", "B")) -> DataFrame:
         """Clips with the prediction of every solution attached."""
-        c = self.clips.withColumn("solution", F.explode(F.array(*map(F.lit, solutions))))
-        key = F.concat_ws("|", "solution", "clip_id")
-        c = c.withColumn("hv", stable_hash(key))
+        def draws(solution: str) -> Column:
+            key = F.concat_ws("|", F.lit(solution), "clip_id")
+            return F.struct(
+                F.lit(solution).alias("solution"),
+                stable_hash(key).alias("hv"),
+                F.array(*[stable_hash(key, x) % 100 for x in LABELS]).alias("hw"),
+            )
+
+        # The hashes are made inside the exploded array, once per row.
+        drawn = F.explode(F.array(*[draws(s) for s in solutions]))
+        c = self.clips.withColumn("_d", drawn).select(*self.clips.columns, "_d.*")
         tenth = F.col("hv") % 10
         chosen = (
             F.when(tenth < 4, F.col("prosody_sentiment"))
@@ -75,17 +83,14 @@ class Views:
             .otherwise(pick(LABELS, F.col("hv") % 3))
         )
         c = c.withColumn("sentiment", chosen)
-        w = F.array(
-            *[
-                F.lit(1)
-                + stable_hash(key, x) % 100
-                + F.when(F.col("sentiment") == x, F.lit(150)).otherwise(F.lit(0))
-                for x in LABELS
-            ]
-        )
-        c = c.withColumn("w", w)
-        total = (F.col("w")[0] + F.col("w")[1] + F.col("w")[2]).cast("double")
-        c = c.withColumn("probs", F.transform("w", lambda x: x.cast("double") / total))
+        w = [
+            F.lit(1)
+            + F.col("hw")[i]
+            + F.when(F.col("sentiment") == x, F.lit(150)).otherwise(F.lit(0))
+            for i, x in enumerate(LABELS)
+        ]
+        total = (w[0] + w[1] + w[2]).cast("double")
+        c = c.withColumn("probs", F.array(*[x.cast("double") / total for x in w]))
         confidence = F.array_max("probs")
         return c.withColumn("confidence", confidence).select(
             *self.clips.columns,
