@@ -41,38 +41,58 @@ def normalise(scores: Column) -> Column:
     Raises unless the keys are exactly the three classes.
     """
     keys_ok = F.array_sort(F.map_keys(scores)) == F.array(*[F.lit(x) for x in sorted(LABELS)])
-    total = F.aggregate(F.map_values(scores), F.lit(0.0), lambda acc, x: acc + x)
+    values = [F.try_element_at(scores, F.lit(x)) for x in LABELS]
+    total = values[0] + values[1] + values[2]
     shown = F.concat_ws(",", F.map_keys(scores))
-    return F.when(
-        keys_ok, F.transform(from_map(scores), lambda x: x / total)
-    ).otherwise(F.raise_error(F.concat(F.lit("labels do not match the classes: "), shown)))
+    return F.when(keys_ok, F.array(*[x / total for x in values])).otherwise(
+        F.raise_error(F.concat(F.lit("labels do not match the classes: "), shown))
+    )
 
 
 def uniform() -> Column:
     return F.array(*[F.lit(1.0 / len(LABELS)) for _ in LABELS])
 
 
-def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(exps, lambda x: x / total)
+def entries(vector: Column) -> list[Column]:
+    return [vector[i] for i in range(len(LABELS))]
+
+
+def softmax(logits: list[Column]) -> Column:
+    """Stable softmax over a fixed number of columns (no lambdas, so it compiles)."""
+    top = F.greatest(*logits)
+    exps = [F.exp(x - top) for x in logits]
+    total = exps[0]
+    for e in exps[1:]:
+        total = total + e
+    return F.array(*[e / total for e in exps])
 
 
 def clipped_log(p: Column) -> Column:
     return F.log(F.least(F.greatest(p, F.lit(EPS)), F.lit(1.0)))
 
 
+def pooled_logits(
+    log_a: list[Column], log_b: list[Column], weight: Column, temperature: Column
+) -> list[Column]:
+    return [
+        (weight * x + (F.lit(1.0) - weight) * y) / temperature
+        for x, y in zip(log_a, log_b, strict=True)
+    ]
+
+
 def fuse(a: Column, b: Column, weight: Column, temperature: Column) -> Column:
     """Log-linear pool of two vectors: weight on `a`, the rest on `b`."""
-    return softmax(
-        F.zip_with(
-            a,
-            b,
-            lambda x, y: (weight * clipped_log(x) + (F.lit(1.0) - weight) * clipped_log(y))
-            / temperature,
-        )
-    )
+    log_a, log_b = ([clipped_log(x) for x in entries(v)] for v in (a, b))
+    return softmax(pooled_logits(log_a, log_b, weight, temperature))
+
+
+def argmax_of(columns: list[Column]) -> Column:
+    """Label of the largest column; the first one wins a tie."""
+    top = F.greatest(*columns)
+    out = F.when(columns[0] == top, LABELS[0])
+    for x, label in zip(columns[1:], LABELS[1:], strict=True):
+        out = out.when(x == top, label)
+    return out
 
 
 def prob_of(vector: Column, label: Column) -> Column:

@@ -32,8 +32,14 @@ def valence_threshold_scores(
     v = F.col(valence)
     points = F.array(*[F.lit(e) for e in edges])
     # Position on the grid: points strictly below v, and whether v is a point.
-    below = F.size(F.filter(points, lambda e: e < v))
-    on = F.array_contains(points, v)
+    # Arithmetic finds the neighbourhood, comparison with its points settles it.
+    near = F.least(F.greatest(F.floor(v * (n - 1)), F.lit(0)), F.lit(n - 1)).cast("int")
+    around = [F.get(points, near + d) for d in (-1, 0, 1)]
+    below = F.greatest(near - 1, F.lit(0))
+    on = F.lit(False)
+    for point in around:
+        below = below + F.coalesce((point < v).cast("int"), F.lit(0))
+        on = on | F.coalesce(point == v, F.lit(False))
     placed = rows.where(v.isNotNull()).select(
         F.col(label).alias("c"), below.alias("b"), on.alias("on")
     )
@@ -94,13 +100,17 @@ def fusion_weight_scores(pairs: DataFrame, weights: Sequence[float] | None = Non
     """UAR per fusion weight; `pairs` holds probs_a, probs_b and the true label."""
     weights = weights or grid(21)
     w = F.explode(F.array(*[F.lit(x) for x in weights]))
-    fused = pairs.withColumn("weight", w).select(
-        "weight",
+    # Logarithms are taken once per row, and the softmax does not move the argmax.
+    logs = pairs.select(
         F.col("prosody_sentiment").alias("t"),
-        P.argmax_label(
-            P.fuse(F.col("probs_a"), F.col("probs_b"), F.col("weight"), F.lit(1.0))
-        ).alias("p"),
+        F.array(*[P.clipped_log(x) for x in P.entries(F.col("probs_a"))]).alias("a"),
+        F.array(*[P.clipped_log(x) for x in P.entries(F.col("probs_b"))]).alias("b"),
+        w.alias("weight"),
     )
+    logits = P.pooled_logits(
+        P.entries(F.col("a")), P.entries(F.col("b")), F.col("weight"), F.lit(1.0)
+    )
+    fused = logs.select("weight", "t", P.argmax_of(logits).alias("p"))
     counted = fused.groupBy("weight", "t", "p").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.withColumn("x", F.col("t")).withColumn("abst", F.lit(0))
     return counted.groupBy("weight").agg(metric_columns()["uar"].alias("uar"))

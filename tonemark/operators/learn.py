@@ -56,17 +56,19 @@ class Preprocessing:
     stds: list[float]
 
     def apply(self, df: DataFrame, features: str = "features") -> DataFrame:
-        x = F.col(features)
-        if self.medians is not None:
-            missing = F.lit(None).cast("double")
-            x = F.zip_with(
-                x, F.lit(self.medians), lambda v, m: F.coalesce(F.nanvl(v, missing), m)
-            )
-        centred = F.zip_with(x, F.lit(self.means), lambda v, m: v - m)
-        scaled = F.zip_with(
-            centred, F.lit([s if s > 0 else 1.0 for s in self.stds]), lambda v, s: v / s
-        )
-        return df.withColumn("_x", scaled)
+        fill, means = self.medians, np.array(self.means)
+        stds = np.array([s if s > 0 else 1.0 for s in self.stds])
+
+        @F.pandas_udf("array<double>")
+        def prepare(x: pd.Series) -> pd.Series:
+            if len(x) == 0:
+                return pd.Series([], dtype=object)
+            v = np.stack([np.asarray(row, dtype=np.float64) for row in x])
+            if fill is not None:
+                v = np.where(np.isnan(v), np.array(fill), v)
+            return pd.Series(list((v - means) / stds))
+
+        return df.withColumn("_x", prepare(features))
 
 
 def has_gaps(df: DataFrame, features: str = "features") -> bool:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,8 +127,17 @@ def latency_percentiles(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def evaluate(rows: DataFrame, groups: Sequence[str] = KEY) -> DataFrame:
-    """One result row per group: every metric plus the confusion matrix."""
+def evaluate(
+    rows: DataFrame, groups: Sequence[str] = KEY, *, persist: bool = True
+) -> DataFrame:
+    """One result row per group: every metric plus the confusion matrix.
+
+    Counts and the two latency passes read the same narrow rows, so those are
+    kept (spilling to disk) rather than joined again for each pass.
+    """
+    rows = rows.select(*groups, TRUE, PRED, TEXT, "confidence", "abstained", "latency_ms")
+    if persist:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     counted = cells(rows, groups)
     # ECE needs a second level of grouping; it rides on the same cells, and the
     # two branches share their exchange.

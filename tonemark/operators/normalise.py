@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonemark.operators.scale import lookup_join, one_row
 
@@ -18,6 +21,8 @@ SCHEMES = ("raw", "dataset_z", "speaker_z", "speaker_z_loo")
 # Above this width one aggregate expression per dimension makes the generated
 # code too large; statistics then come from a long table.
 WIDE_LIMIT = 128
+# Up to this width the z-scores are plain column expressions.
+COLUMN_LIMIT = 16
 
 
 def feature_stats(
@@ -52,23 +57,36 @@ def feature_stats(
     )
 
 
-def z(x: Column, mean: Column, std: Column) -> Column:
-    """A constant dimension carries nothing and becomes 0."""
-    return F.when(std < EPS, F.lit(0.0)).otherwise((x - mean) / F.greatest(std, F.lit(EPS)))
+def group_coefficients(stats: DataFrame, loo: bool) -> DataFrame:
+    """Reduce group figures to what a row needs: z = c * gap / sqrt(a - b * gap^2).
 
+    With gap = x - mean, the group without the row has mean - gap / (n - 1) as
+    its mean and (n * std^2 - gap^2 * n / (n - 1)) / (n - 1) as its variance, so
+    a = n * std^2 / (n - 1), b = n / (n - 1)^2 and c = n / (n - 1). The plain
+    score, also used for groups of fewer than three rows, is a = std^2, b = 0
+    and c = 1.
+    """
+    n = F.col("_n").cast("double")
+    small = (n < 3) | F.lit(not loo)
+    ratio = F.when(small, F.lit(1.0)).otherwise(n / (n - 1))
+    return stats.select(
+        "*",
+        ratio.alias("_c"),
+        F.when(small, F.lit(0.0)).otherwise(n / ((n - 1) * (n - 1))).alias("_b"),
+        F.transform("_std", lambda s: s * s * ratio).alias("_a"),
+    )
 
-def loo_z(x: Column, mean: Column, std: Column, n: Column) -> Column:
-    """z against the group without the row itself, in closed form.
 
-    Below three rows the group figures are used. Where the other rows do not
-    vary, the group deviation is the scale.
-    """
+def z(x: Column, mean: Column, std: Column, a: Column, b: Column, c: Column) -> Column:
+    """Score of one value. Where the other rows do not vary, the group deviation
+    is the scale; a dimension that is constant in the group becomes 0."""
     gap = x - mean
-    others_mean = mean - gap / (n - 1)
-    others_var = (n * std * std - gap * gap * n / (n - 1)) / (n - 1)
-    others_std = F.sqrt(F.greatest(others_var, F.lit(0.0)))
-    scale = F.when(others_std < EPS, std).otherwise(others_std)
-    return F.when(n < 3, z(x, mean, std)).otherwise(z(x, others_mean, scale))
+    variance = a - b * gap * gap
+    return (
+        F.when(variance >= EPS * EPS, c * gap / F.sqrt(variance))
+        .when(std >= EPS, c * gap / std)
+        .otherwise(F.lit(0.0))
+    )
 
 
 def normalise(
@@ -91,20 +109,49 @@ def normalise(
     if scheme not in SCHEMES:
         raise ValueError(f"unknown scheme {scheme!r}")
     keys = list(pool) if scheme == "dataset_z" else [*pool, *groups]
-    stats = feature_stats(df, keys, width, features)
+    stats = group_coefficients(
+        feature_stats(df, keys, width, features), scheme == "speaker_z_loo"
+    )
+    names = ["_mean", "_std", "_a", "_b", "_c"]
     if keys:
         joined = lookup_join(df, stats, keys, count_col="_n", spread_by=spread_by)
     else:
         s = one_row(stats)
-        joined = df.withColumns({c: s.getField(c) for c in ("_n", "_mean", "_std")})
-    n = F.col("_n").cast("double")
+        joined = df.withColumns({c: s.getField(c) for c in names})
+    if width <= COLUMN_LIMIT:
+        values = F.array(
+            *[
+                z(
+                    F.col(features)[i],
+                    *[F.col(c)[i] for c in ("_mean", "_std", "_a")],
+                    F.col("_b"),
+                    F.col("_c"),
+                )
+                for i in range(width)
+            ]
+        )
+    else:
+        values = wide_z(features, *names)
+    return joined.withColumn(features, values).drop("_n", *names)
+
 
-    def step(e: Column) -> Column:
-        x, mean, std = e["0"], e["1"], e["2"]
-        return loo_z(x, mean, std, n) if scheme == "speaker_z_loo" else z(x, mean, std)
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def wide_z(
+    x: pd.Series, mean: pd.Series, std: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series
+) -> pd.Series:
+    """`z` for wide vectors: one numpy operation per Arrow batch.
 
-    zipped = F.arrays_zip(F.col(features).alias("0"), F.col("_mean").alias("1"), F.col("_std").alias("2"))
-    return joined.withColumn(features, F.transform(zipped, step)).drop("_n", "_mean", "_std")
+    Array lambdas are interpreted per element, which is many times slower.
+    """
+    if len(x) == 0:
+        return pd.Series([], dtype=object)
+    v, m, s, aa = (np.stack(column.to_numpy()) for column in (x, mean, std, a))
+    bb, cc = (column.to_numpy(dtype=np.float64)[:, None] for column in (b, c))
+    gap = v - m
+    variance = aa - bb * gap * gap
+    usable = variance >= EPS * EPS
+    scale = np.where(usable, np.sqrt(np.where(usable, variance, 1.0)), np.maximum(s, EPS))
+    return pd.Series(list(np.where(usable | (s >= EPS), cc * gap / scale, 0.0)))
 
 
 def z_within(df: DataFrame, value: str, groups: Sequence[str], out: str = "z") -> DataFrame:

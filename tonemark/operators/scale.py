@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,11 +201,17 @@ def global_desc_order(
     """
     steps = [i / slices for i in range(1, slices)]
     # At most `slices` numbers, as a range-partitioned sort also samples.
-    found = sorted(set(rows.approxQuantile(value, steps, 0.05 / slices)))
-    cuts = F.array(*[F.lit(c) for c in found]) if found else F.array().cast("array<double>")
-    above = F.size(F.filter(cuts, lambda c: c > F.col(value)))
-    on_cut = F.array_contains(cuts, F.col(value))
-    sliced = rows.withColumn("_base", above * 2 + F.when(on_cut, 1).otherwise(0))
+    found = sorted(set(rows.approxQuantile(value, steps, 0.1 / slices)))
+
+    @F.pandas_udf("bigint")
+    def base(values: pd.Series) -> pd.Series:
+        # Twice the number of cuts above the value, plus one on a cut.
+        cuts = np.array(found, dtype=np.float64)
+        upto = np.searchsorted(cuts, values, side="right")
+        return pd.Series(2 * (len(cuts) - upto) + np.isin(values, cuts))
+
+    sliced = rows.withColumn("_base", base(value))
+    on_cut = F.col("_base") % 2 == 1
     tied = sliced.where(on_cut).groupBy("_base").agg(F.count(F.lit(1)).alias("_n"))
     # A heavy run of ties is split at about one tie-column value in RANK_ROWS,
     # chosen by hash, so each list of bounds has about n / RANK_ROWS entries.

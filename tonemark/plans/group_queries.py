@@ -503,16 +503,18 @@ def big_features(v):
 )
 def _(v):
     scaled = normalise.normalise(big_features(v), "speaker_z_loo", 4)
-    long = scaled.select("speaker_id", F.posexplode("features").alias("dim", "z"))
-    return tidy(
-        long.groupBy("speaker_id", (F.col("dim") + 1).alias("dim")).agg(
+    per_dim = [
+        F.struct(
+            F.lit(i + 1).cast("bigint").alias("dim"),
             F.count(F.lit(1)).alias("n"),
-            F.min("z").alias("z_min"),
-            F.max("z").alias("z_max"),
-            F.avg(F.abs("z")).alias("z_mean"),
-        ),
-        4,
-    )
+            F.min(F.col("features")[i]).alias("z_min"),
+            F.max(F.col("features")[i]).alias("z_max"),
+            F.avg(F.abs(F.col("features")[i])).alias("z_mean"),
+        )
+        for i in range(4)
+    ]
+    per_speaker = scaled.groupBy("speaker_id").agg(F.array(*per_dim).alias("d"))
+    return tidy(per_speaker.select("speaker_id", F.inline("d")), 4)
 
 
 SOURCE_Z = """, s AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd FROM clips

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tonemark.functions.hashing import stable_hash
 from tonemark.functions.labels import congruent, pick
 from tonemark.schema import LABELS, SOURCES
+from tonemark.sources.tables import scan_parquet
 
 
 def split_by_hash(bucket: Column) -> Column:
@@ -25,7 +26,7 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return scan_parquet(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def clips(self) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +15,12 @@ from tonemark.schema import FEATURES
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """The store, empty when nothing was written yet."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    exists = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
-    if not exists:
+    try:
+        return spark.read.schema(FEATURES).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], FEATURES)
-    return spark.read.schema(FEATURES).parquet(path)
 
 
 def uncached(manifest: DataFrame, store: DataFrame) -> DataFrame:
