@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemark import fixed_values as fixed
 from tonemark.functions import probs as P
+from tonemark.functions.labels import literal_map
 from tonemark.operators.metrics import metric_columns
 from tonemark.operators.scale import exact_percentiles, one_row
 from tonemark.schema import LABELS
@@ -132,32 +134,37 @@ def fusion_temperature_scores(
 def fit_fusion_params(pairs: DataFrame, *, abstain_share: float = 0.10) -> DataFrame:
     """Weight by UAR, then temperature by likelihood, then the abstention threshold.
 
-    Each step needs the previous parameter, so two numbers pass through the
-    driver; rows never do. Fit on validation rows only.
+    Each step needs the previous parameter, so three numbers pass through the
+    driver; rows never do. The pairs are kept for the three passes. Fit on
+    validation rows only.
     """
-    weight = (
-        fusion_weight_scores(pairs)
-        .agg(F.max_by("weight", F.struct(F.round("uar", 12), -F.col("weight"))))
-        .first()[0]
-    )
-    if weight is None:
-        raise ValueError("cannot fit fusion parameters on an empty validation set")
-    order = {t: i for i, t in enumerate(fixed.FUSION_TEMPERATURES)}
-    position = F.element_at(
-        F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col("temperature")
-    )
-    temperature = (
-        fusion_temperature_scores(pairs, weight)
-        .agg(F.min_by("temperature", F.struct(F.round("nll", 12), position)))
-        .first()[0]
-    )
-    fused = P.fuse(F.col("probs_a"), F.col("probs_b"), F.lit(weight), F.lit(temperature))
-    confidence = pairs.select(F.array_max(fused).alias("confidence"))
-    cut = exact_percentiles(confidence, [], "confidence", {"abstain_threshold": abstain_share})
-    return cut.select(
-        F.lit(weight).alias("weight_lexical"),
-        F.lit(temperature).alias("temperature"),
-        "abstain_threshold",
+    spark = pairs.sparkSession
+    pairs = pairs.select("prosody_sentiment", "probs_a", "probs_b").persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    try:
+        weight = (
+            fusion_weight_scores(pairs)
+            .agg(F.max_by("weight", F.struct(F.round("uar", 12), -F.col("weight"))))
+            .first()[0]
+        )
+        if weight is None:
+            raise ValueError("cannot fit fusion parameters on an empty validation set")
+        order = {t: i for i, t in enumerate(fixed.FUSION_TEMPERATURES)}
+        position = F.element_at(literal_map(order), F.col("temperature"))
+        temperature = (
+            fusion_temperature_scores(pairs, weight)
+            .agg(F.min_by("temperature", F.struct(F.round("nll", 12), position)))
+            .first()[0]
+        )
+        fused = P.fuse(F.col("probs_a"), F.col("probs_b"), F.lit(weight), F.lit(temperature))
+        confidence = pairs.select(F.array_max(fused).alias("confidence"))
+        cut = exact_percentiles(confidence, [], "confidence", {"cut": abstain_share}).first()[0]
+    finally:
+        pairs.unpersist()
+    return spark.createDataFrame(
+        [(weight, temperature, cut)],
+        "weight_lexical double, temperature double, abstain_threshold double",
     )
 
 
@@ -182,10 +189,11 @@ def fit_whisper_thresholds(
 
 def train_medians(train: DataFrame, features: str = "features") -> DataFrame:
     """Exact median per dimension over training rows, NaN and NULL left out."""
+    n = train.count()
     long = train.select(F.posexplode(features).alias("dim", "x")).select(
         "dim", F.nanvl(F.col("x"), F.lit(None).cast("double")).alias("x")
     )
-    return exact_percentiles(long, ["dim"], "x", {"median": 0.5})
+    return exact_percentiles(long, ["dim"], "x", {"median": 0.5}, largest=n)
 
 
 def median_vector(train: DataFrame, width: int, features: str = "features") -> Column:

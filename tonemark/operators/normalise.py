@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from tonemark.operators.scale import lookup_join, one_row
 
 EPS = 1e-8
+# A leave-one-out variance below this share of the group's is rounding noise.
+NOISE = 1e-13
 SCHEMES = ("raw", "dataset_z", "speaker_z", "speaker_z_loo")
 # Above this width one aggregate expression per dimension makes the generated
 # code too large; statistics then come from a long table.
@@ -83,7 +85,7 @@ def z(x: Column, mean: Column, std: Column, a: Column, b: Column, c: Column) ->
     gap = x - mean
     variance = a - b * gap * gap
     return (
-        F.when(variance >= EPS * EPS, c * gap / F.sqrt(variance))
+        F.when(variance >= F.greatest(F.lit(EPS * EPS), a * NOISE), c * gap / F.sqrt(variance))
         .when(std >= EPS, c * gap / std)
         .otherwise(F.lit(0.0))
     )
@@ -149,7 +151,7 @@ def wide_z(
     bb, cc = (column.to_numpy(dtype=np.float64)[:, None] for column in (b, c))
     gap = v - m
     variance = aa - bb * gap * gap
-    usable = variance >= EPS * EPS
+    usable = variance >= np.maximum(EPS * EPS, aa * NOISE)
     scale = np.where(usable, np.sqrt(np.where(usable, variance, 1.0)), np.maximum(s, EPS))
     return pd.Series(list(np.where(usable | (s >= EPS), cc * gap / scale, 0.0)))
 

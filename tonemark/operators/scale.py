@@ -20,6 +20,8 @@ from tonemark.functions.hashing import HASH_SPACE
 # A key with more rows than this is spread over several join tasks. At most
 # total_rows / HOT_ROWS keys can qualify, which bounds the broadcast below.
 HOT_ROWS = 10_000_000
+# Largest group whose values one task may hold for an exact percentile.
+PERCENTILE_ROWS = 1_000_000
 # Rows ranked by one task.
 RANK_ROWS = 500_000
 
@@ -269,10 +271,13 @@ def exact_percentiles(
     groups: Sequence[str],
     value: str,
     levels: dict[str, float],
+    *,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per group, one column per level.
 
-    `percentile` keeps every distinct value of a group in one task. Here a
+    `percentile` keeps every distinct value of a group in one task, so it serves
+    only when the largest group (checked, or passed in) is small. Otherwise a
     mergeable sketch brackets each wanted rank first; rows below a bracket are
     only counted, and only the values inside it are ordered. The sketch is off
     by at most 1/accuracy of the group, so a bracket a few times wider holds the
@@ -281,6 +286,13 @@ def exact_percentiles(
     accuracy, slack, small = 100_000, 4e-5, 200_000
     groups = list(groups)
     present = rows.where(F.col(value).isNotNull()).select(*groups, value)
+    if largest is None:
+        sizes = present.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest <= PERCENTILE_ROWS:
+        wanted = F.array(*[F.lit(float(q)) for q in levels.values()])
+        found = present.groupBy(*groups).agg(F.percentile(value, wanted).alias("_p"))
+        return found.select(*groups, *[F.col("_p")[i].alias(n) for i, n in enumerate(levels)])
     probes = []
     for q in levels.values():
         probes += [max(q - slack, 0.0), min(q + slack, 1.0)]
