@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,12 +18,18 @@ def label_array() -> Column:
 
 def argmax_label(probs: Column) -> Column:
     """Label of the largest entry; the first one wins a tie."""
-    return F.element_at(label_array(), F.array_position(probs, F.array_max(probs)).cast("int"))
+    # `get` rather than `element_at`: the latter takes a NULL position for a value
+    # when the array is a literal.
+    return F.get(label_array(), (F.array_position(probs, F.array_max(probs)) - 1).cast("int"))
 
 
 def soft_onehot(label: Column, confidence: Column) -> Column:
-    rest = (F.lit(1.0) - confidence) / F.lit(2.0)
-    return F.array(*[F.when(label == x, confidence).otherwise(rest) for x in LABELS])
+    def spread(pair: Column) -> Column:
+        c = pair["c"]
+        rest = (F.lit(1.0) - c) / F.lit(2.0)
+        return F.array(*[F.when(pair["label"] == x, c).otherwise(rest) for x in LABELS])
+
+    return let(F.struct(label.alias("label"), confidence.alias("c")), spread)
 
 
 def from_map(probs: Column) -> Column:
@@ -57,14 +65,27 @@ def entries(vector: Column) -> list[Column]:
     return [vector[i] for i in range(len(LABELS))]
 
 
-def softmax(logits: list[Column]) -> Column:
-    """Stable softmax over a fixed number of columns (no lambdas, so it compiles)."""
-    top = F.greatest(*logits)
-    exps = [F.exp(x - top) for x in logits]
-    total = exps[0]
-    for e in exps[1:]:
-        total = total + e
-    return F.array(*[e / total for e in exps])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once however often the body uses it.
+
+    Without it a value used several times is copied into the expression each
+    time, and nested uses multiply until the generated code no longer compiles.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def softmax(logits: Column) -> Column:
+    """Stable softmax of a vector."""
+
+    def rescale(exps: Column) -> Column:
+        total = exps[0] + exps[1] + exps[2]
+        return F.array(*[e / total for e in entries(exps)])
+
+    def exponentials(x: Column) -> Column:
+        top = F.array_max(x)
+        return F.array(*[F.exp(v - top) for v in entries(x)])
+
+    return let(let(logits, exponentials), rescale)
 
 
 def clipped_log(p: Column) -> Column:
@@ -82,8 +103,12 @@ def pooled_logits(
 
 def fuse(a: Column, b: Column, weight: Column, temperature: Column) -> Column:
     """Log-linear pool of two vectors: weight on `a`, the rest on `b`."""
-    log_a, log_b = ([clipped_log(x) for x in entries(v)] for v in (a, b))
-    return softmax(pooled_logits(log_a, log_b, weight, temperature))
+
+    def pool(pair: Column) -> Column:
+        log_a, log_b = ([clipped_log(x) for x in entries(pair[k])] for k in ("a", "b"))
+        return F.array(*pooled_logits(log_a, log_b, weight, temperature))
+
+    return softmax(let(F.struct(a.alias("a"), b.alias("b")), pool))
 
 
 def argmax_of(columns: list[Column]) -> Column:
@@ -96,7 +121,7 @@ def argmax_of(columns: list[Column]) -> Column:
 
 
 def prob_of(vector: Column, label: Column) -> Column:
-    return F.element_at(vector, F.array_position(label_array(), label).cast("int"))
+    return F.get(vector, (F.array_position(label_array(), label) - 1).cast("int"))
 
 
 def valence_proxy(vector: Column) -> Column:

@@ -439,7 +439,7 @@ def leave_group_out(
     return out
 
 
-def recoverability(predicted: DataFrame, label: str, n_total: int | Column) -> DataFrame:
+def recoverability(predicted: DataFrame, label: str) -> DataFrame:
     """Share of out-of-fold predictions that are right, over the scored rows."""
     return predicted.agg(
         F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("accuracy"),

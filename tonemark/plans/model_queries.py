@@ -122,7 +122,7 @@ def _(v):
     descriptors = v.features.withColumn("features", F.slice("features", 1, 9))
     predicted = learn.leave_group_out(descriptors, "text", 9, balanced=False)
     return tidy(
-        learn.recoverability(predicted, "prosody_sentiment", None).withColumn(
+        learn.recoverability(predicted, "prosody_sentiment").withColumn(
             "chance", F.lit(1 / 3)
         )
     )
