@@ -326,26 +326,28 @@ def _(v):
     return tidy(frames.contour_features(frame_table(v)))
 
 
+# Means of a few dozen two-decimal values often end in a 5 at the seventh digit,
+# so per-speaker means are compared at nine digits.
 @query(
     "pitch_stats",
     with_(CLIPS, FRAMES)
-    + """SELECT clip_id, round(avg(f0) FILTER (WHERE f0 > 0), 6) AS f0_mean,
-      round(stddev_pop(f0) FILTER (WHERE f0 > 0), 6) AS f0_std,
-      round(max(f0) FILTER (WHERE f0 > 0) - min(f0) FILTER (WHERE f0 > 0), 6) AS f0_range
+    + """SELECT clip_id, round(avg(f0) FILTER (WHERE f0 > 0), 9) AS f0_mean,
+      round(stddev_pop(f0) FILTER (WHERE f0 > 0), 9) AS f0_std,
+      round(max(f0) FILTER (WHERE f0 > 0) - min(f0) FILTER (WHERE f0 > 0), 9) AS f0_range
     FROM frames GROUP BY clip_id""",
 )
 def _(v):
-    return tidy(frames.pitch_stats(frame_table(v)))
+    return tidy(frames.pitch_stats(frame_table(v)), 9)
 
 
 @query(
     "hnr_mean",
     with_(CLIPS, FRAMES)
-    + """SELECT clip_id, round(avg(hnr) FILTER (WHERE hnr <> -200), 6) AS hnr_mean
+    + """SELECT clip_id, round(avg(hnr) FILTER (WHERE hnr <> -200), 9) AS hnr_mean
     FROM frames GROUP BY clip_id""",
 )
 def _(v):
-    return tidy(frames.hnr_mean(frame_table(v)))
+    return tidy(frames.hnr_mean(frame_table(v)), 9)
 
 
 BEST = """best AS (SELECT source, voice_id, max(value)-min(value) AS spread, count(value) AS n
@@ -945,10 +947,10 @@ def _(v):
         max(f0) FILTER (WHERE f0>0) - min(f0) FILTER (WHERE f0>0) AS f0_range,
         avg(hnr) FILTER (WHERE hnr <> -200) AS hnr FROM frames GROUP BY clip_id)
     SELECT c.clip_id, c.text AS carrier, c.prosody_sentiment AS intended,
-      round(p.f0_mean, 6) AS f0_mean, round(p.f0_std, 6) AS f0_std, round(p.f0_range, 6) AS f0_range,
-      round(p.hnr, 6) AS egemaps_hnr, round(length(c.text)/c.value, 6) AS speech_rate_cps,
+      round(p.f0_mean, 9) AS f0_mean, round(p.f0_std, 9) AS f0_std, round(p.f0_range, 9) AS f0_range,
+      round(p.hnr, 9) AS egemaps_hnr, round(length(c.text)/c.value, 9) AS speech_rate_cps,
       a.sentiment AS permissive_predicted_sentiment,
-      round(a.p2-a.p0, 6) AS permissive_valence_proxy
+      round(a.p2-a.p0, 9) AS permissive_valence_proxy
     FROM clips c LEFT JOIN p ON p.clip_id = c.speaker_id
       LEFT JOIN preds a ON a.clip_id=c.clip_id AND a.solution='B' AND a.confidence > 0.5""",
 )
@@ -961,4 +963,4 @@ def _(v):
     table = measurement_table(
         clips, frame_table(v), readings, seconds="value", frames_key="frames_id"
     )
-    return tidy(table)
+    return tidy(table, 9)
