@@ -38,6 +38,7 @@ from tonemark.schema import LABELS
 
 LABEL = "prosody_sentiment"
 PARALLEL_FITS = 8
+SMALL_FRAME = 20_000
 
 
 def in_parallel(jobs: Sequence[Callable[[], object]]) -> list:
@@ -117,18 +118,25 @@ class Classifier:
         return vector.select(*out, *prediction_columns(F.col("_v")))
 
 
-def class_weights(train: DataFrame, label: str = LABEL) -> dict[str, float]:
-    """Balanced weights n / (k * n_c), in canonical class order."""
+def class_weights(train: DataFrame, label: str = LABEL) -> tuple[dict[str, float], int]:
+    """Balanced weights n / (k * n_c), in canonical class order, and n."""
     counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
     total = sum(counts.values())
     order = [c for c in LABELS if c in counts] + sorted(set(counts) - set(LABELS))
-    return {c: total / (len(counts) * counts[c]) for c in order}
+    return {c: total / (len(counts) * counts[c]) for c in order}, total
+
+
+def packed(df: DataFrame, n: int) -> DataFrame:
+    """One partition for a frame of few rows: an iterative fit starts a job per
+    step, and many near-empty tasks would cost more than the step."""
+    return df.coalesce(1) if n <= SMALL_FRAME else df
 
 
 def training_frame(
     train: DataFrame,
     prep: Preprocessing,
     weights: dict[str, float],
+    n: int,
     label: str = LABEL,
     balanced: bool = True,
 ) -> DataFrame:
@@ -142,7 +150,7 @@ def training_frame(
         "_x",
         array_to_vector("_x").alias("x"),
     )
-    return kept.persist(StorageLevel.MEMORY_AND_DISK)
+    return packed(kept, n).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _logreg(frame: DataFrame, total_weight: float, column: str = "x", max_iter: int = 200):
@@ -329,12 +337,11 @@ def fit(
     train: DataFrame, width: int, names: Sequence[str] = ("logreg",), *, impute: bool = False
 ) -> dict[str, Classifier]:
     """Fit the named candidates on one training set."""
-    weights = class_weights(train)
+    weights, n = class_weights(train)
     if len(weights) < 2:
         raise ValueError("training rows hold fewer than two classes")
     prep = fit_preprocessing(train, width, impute=impute)
-    frame = training_frame(train, prep, weights)
-    n = float(frame.count())
+    frame = training_frame(train, prep, weights, n)
     try:
         fitted = in_parallel([lambda f=FITTERS[x]: f(frame, weights, prep, n) for x in names])
     finally:
@@ -410,19 +417,18 @@ def leave_group_out(
         bucket = stable_hash("fold", F.col(group).cast("string")) % max_folds
         rows = df.withColumn("fold", bucket.cast("string"))
         folds = [str(i) for i in range(max_folds)]
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = packed(rows, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(fold: str) -> DataFrame | None:
         train, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        weights = class_weights(train, label)
+        weights, n = class_weights(train, label)
         if len(weights) < 2:
             if single_class == "skip" or not weights:
                 return None
             only = next(iter(weights))
             return held.select("clip_id", "fold", label, F.lit(only).alias("predicted"))
         prep = fit_preprocessing(train, width)
-        frame = training_frame(train, prep, weights, label, balanced)
-        n = float(frame.count())
+        frame = training_frame(train, prep, weights, n, label, balanced)
         model = _logreg(frame, n)
         frame.unpersist()
         scored = _probability(model)(prep.apply(held))
@@ -450,8 +456,8 @@ def recoverability(predicted: DataFrame, label: str) -> DataFrame:
 
 def best_k(points: DataFrame, min_k: int = 2, max_k: int = 10, seed: int = 0) -> DataFrame:
     """Silhouette of k-means per k (squared Euclidean), best first."""
-    rows = points.select("clip_id", "x").persist(StorageLevel.MEMORY_AND_DISK)
-    n = rows.count()
+    n = points.count()
+    rows = packed(points.select("clip_id", "x"), n).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="x", predictionCol="cluster")
 
     def one(k: int) -> tuple[int, float]:
