@@ -173,11 +173,3 @@ def leakage_gap(
         .agg(*pick.values())
         .withColumn("gap", F.col("leaky_uar") - F.col("disjoint_uar"))
     )
-
-
-def cached_or_missing(manifest: DataFrame, store: DataFrame) -> DataFrame:
-    """Left join to the store; `hit` says whether a stored vector was found."""
-    kept = store.select("clip_id", "features", F.lit(True).alias("_hit"))
-    return manifest.join(kept, "clip_id", "left").withColumn(
-        "hit", F.coalesce("_hit", F.lit(False))
-    ).drop("_hit")

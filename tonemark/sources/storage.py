@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _local: list[str] = []
 
@@ -24,20 +24,3 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def stage(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write a table once and read it back, so later jobs start from the files."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    writer = df.write
-    if options.get("partition_by"):
-        writer = writer.partitionBy(*options["partition_by"])
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
