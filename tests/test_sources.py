@@ -81,7 +81,8 @@ def test_emotion_mapping_never_defaults(spark):
     with pytest.raises(ValueError, match="unknown scheme"):
         map_emotion(F.col("tag"), "other")
     with pytest.raises(PySparkException, match="ambiguous emotion tag: calm"):
-        tags.select(map_emotion(F.col("tag"), "cartesia", strict=True)["sentiment"]).collect()
+        strict = map_emotion(F.col("tag"), "cartesia", strict=True)["sentiment"]
+        tags.where("tag = 'calm'").select(strict).collect()
 
 
 def test_tag_lists(spark):
@@ -184,3 +185,30 @@ def test_params_default_when_absent(spark, tmp_path):
     results.sink_params(spark.createDataFrame([(0.2,)], "weight_lexical double"), path)
     got = results.scan_params(spark, path, defaults).first().asDict()
     assert got == {"weight_lexical": 0.2, "temperature": 1.0, "abstain_threshold": 0.0}
+
+
+def test_results_round_trip(spark, tmp_path):
+    from conftest import clip_rows
+
+    from tonemark.operators import metrics
+
+    rows = clip_rows(spark, [("neutral", "negative", "negative"), ("neutral", "neutral", "positive")])
+    keyed = rows.select(
+        "*",
+        F.lit("B:acoustic(a/b)").alias("solution"),
+        F.lit("d").alias("dataset"),
+        F.lit("all").alias("split_type"),
+        F.lit("said").alias("transcript"),
+    )
+    path = str(tmp_path / "results")
+    results.sink_results(metrics.as_results(metrics.evaluate(keyed)), path)
+    (tmp_path / "results" / "bad.json").write_text("{broken")
+    (tmp_path / "results" / "part.json").write_text('{"solution": "A", "n_clips": 3}')
+    read = results.scan_results(spark, path).collect()
+    assert [(r["solution"], r["n_clips"], r["uar"]) for r in read] == [("B:acoustic(a/b)", 2, 0.5)]
+    assert (tmp_path / "results" / "result_name=B_acoustic(a_b)__d__all").exists()
+    results.sink_predictions(keyed, str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).where("dataset = 'd'").count() == 2
+    nested = results.nest_predictions(keyed, ["solution"])
+    flat = results.explode_predictions(nested, ["solution"])
+    assert {r["predicted_sentiment"] for r in flat.collect()} == {"negative", "positive"}

@@ -22,5 +22,11 @@ def test_a_cluster_without_a_folder_is_refused():
         storage.shared_dir(session("yarn"))
 
 
-def test_local_mode_falls_back(spark):
-    assert storage.shared_dir(spark).startswith("/tmp/spark-")
+def test_local_mode_falls_back():
+    assert storage.shared_dir(session("local[2]")).startswith("/tmp/spark-")
+
+
+def test_the_session_setting_is_read(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    got = storage.shared_dir(spark)
+    assert got == named if named else got.startswith("/tmp/spark-")
