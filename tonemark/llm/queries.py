@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tonemark.llm import packing, token_files
+from tonemark.llm import (
+    byte_repeats,
+    exact_dedup,
+    latent_retrieval,
+    lsh_forest,
+    neighbour_quality,
+    output_codes,
+    packing,
+    sentence_spans,
+    token_files,
+    url_rules,
+)
 from tonemark.llm.common import table
 from tonemark.sources.storage import new_path
 
@@ -31,6 +43,62 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+@query("op2_byte_repeats")
+def op2_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_repeats.clean(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+@query("op3_sentence_spans")
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = sentence_spans.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", "cut.n_sentences", "cut.n_removed", "cut.n_spans", "cut.n_words_removed", "cut.kept_sha256"
+    )
+
+
+@query("op4_url_rules")
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_neighbour_quality")
+def op5_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query(
+    "op7_exact_dedup",
+    """
+    SELECT doc_id,
+           max(doc_id) OVER same AS keep_id,
+           count(*) OVER same AS group_size,
+           doc_id = max(doc_id) OVER same AS kept,
+           sha256(coalesce(text, '')) AS text_sha256
+    FROM documents
+    WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+)
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op8_lsh_forest")
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.join(table(spark, sf_dir, "documents")).select("doc_id", "copy_of", "class_id", "n_links")
+
+
+@query("op9_output_codes")
+def op9_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output_codes.predict(table(spark, sf_dir, "documents"))
+
+
+@query("op10_latent_retrieval")
+def op10_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = latent_retrieval.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    columns = (F.round(c, 6).alias(c) for c in ("cosine", "common", "answer"))
+    return found.select("doc_id", "item_id", *columns)
