@@ -7,7 +7,8 @@
    rotation to singular directions. Rows and words stay distributed; the driver only sees
    matrices of rank x rank.
 3. Every window of the corpus, two blocks of `STEP` words that start at every block, is
-   projected by the same vectors and compared with all passages in blocks of cosines.
+   projected by the same vectors and compared with all passages in blocks of cosines. A
+   window's length counts all its words, so a single shared rare word is no match.
 4. Windows at `COSINE` or more are checked on words: the longest common subsequence of the
    passage and the text around the window must cover `COMMON` of the passage, or `LOOSE`
    of it if also the answer, its last quarter, is covered to `ANSWER`.
@@ -35,12 +36,11 @@ PASSAGE = 64
 SHORTEST = 8
 STEP = 16
 RANK = 128
-COSINE = 0.4
+COSINE = 0.25
 COMMON = 0.8
 LOOSE = 0.6
 ANSWER = 0.8
 MOST_WORDS = 150_000
-CHUNK_WORDS = 1 << 15
 FOUND = "doc_id long, text_hash long, item_id long, cosine double, common double, answer double"
 
 
@@ -78,30 +78,54 @@ def passages(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "item_id long, part int, words array<long>")
 
 
-def _index(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Places in the sorted vocabulary, -1 for other words."""
-    if not len(vocabulary):
-        return np.full(len(hashes), -1)
-    at = np.searchsorted(vocabulary, hashes)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == hashes, at, -1)
+class Vocabulary:
+    """Places of words in a sorted list, by tables in which each word owns a cell.
 
+    Words that fall on a taken cell go to a next, smaller table.
+    """
 
-def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.words = np.unique(hashes)
+        self.tables, rest = [], np.arange(len(self.words))
+        while len(rest):
+            bits = max(4, int(8 * len(rest)).bit_length())
+            table = np.full(1 << bits, -1, np.int32)
+            cell = self._cell(self.words[rest], bits)
+            table[cell[::-1]] = rest[::-1]
+            self.tables.append((bits, table))
+            rest = rest[table[cell] != rest]
+
+    def _cell(self, hashes: np.ndarray, bits: int) -> np.ndarray:
+        return ((hashes << np.uint64(7 * len(self.tables))) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for others."""
+        found = np.full(len(hashes), -1)
+        for level, (bits, table) in enumerate(self.tables):
+            at = table[((hashes << np.uint64(7 * level)) >> np.uint64(64 - bits)).astype(np.int64)]
+            hit = (at >= 0) & (self.words[at] == hashes)
+            found[hit] = at[hit]
+        return found
+
+
+def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(word, df) of the vocabulary's words, and their documents under a null word."""
 
     def counted(batches):
         split, total, n_docs = words.Words(), np.zeros(len(vocabulary), np.int64), 0
         for part in _slices(batches):
             hashes, counts = split(part.column("text").to_pylist())
-            at = _index(vocabulary, hashes)
+            at = vocabulary(hashes)
             doc = np.repeat(np.arange(len(counts)), counts)[at >= 0]
             pairs = np.unique(doc * len(vocabulary) + at[at >= 0])
             total += np.bincount(pairs % max(1, len(vocabulary)), minlength=len(vocabulary))
             n_docs += len(counts)
         has = np.flatnonzero(total)
         yield pa.record_batch(
-            [pa.array([*vocabulary[has].view(np.int64).tolist(), None], pa.int64()), pa.array([*total[has].tolist(), n_docs], pa.int64())],
+            [pa.array([*vocabulary.words[has].view(np.int64).tolist(), None], pa.int64()), pa.array([*total[has].tolist(), n_docs], pa.int64())],
             ["word", "df"],
         )
 
@@ -118,7 +142,7 @@ def _gaussian(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
 
 
-def word_vectors(rows: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
+def word_vectors(rows: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors of the rows' TF-IDF matrix, one vector per word.
 
     Each step is a sum over rows, made per task and combined by word; `rank` counts the
@@ -133,7 +157,7 @@ def word_vectors(rows: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank:
             total = np.zeros((len(vocabulary), wide))
             for batch in batches:
                 for row in batch.column("words").to_pylist():
-                    at, tf = np.unique(_index(vocabulary, np.array(row, np.int64).view(np.uint64)), return_counts=True)
+                    at, tf = np.unique(vocabulary(np.array(row, np.int64).view(np.uint64)), return_counts=True)
                     x = tf * idf[at]
                     x = x / np.linalg.norm(x)
                     total[at] += x[:, None] * (x @ project(at))[None, :]
@@ -152,21 +176,21 @@ def word_vectors(rows: DataFrame, vocabulary: np.ndarray, idf: np.ndarray, rank:
             out[row["at"]] = row["sums"]
         return out
 
-    basis = np.linalg.qr(by_word(lambda at: _gaussian(vocabulary[at], wide)))[0]
+    basis = np.linalg.qr(by_word(lambda at: _gaussian(vocabulary.words[at], wide)))[0]
     image = by_word(lambda at: basis[at])
     values, rotation = np.linalg.eigh(basis.T @ image)
     order = np.argsort(-values)[:rank]
     return (basis @ rotation[:, order]).astype(np.float32)
 
 
-def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, all of a's places in one integer."""
     places: dict[int, int] = {}
-    for k, x in enumerate(a.tolist()):
+    for k, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << k
     full = (1 << len(a)) - 1
     row = full
-    for x in b.tolist():
+    for x in b:
         match = places.get(x)
         if match:
             kept = row & match
@@ -196,15 +220,21 @@ def _found(docs: DataFrame, rows: DataFrame) -> DataFrame:
     items = [r["item_id"] for r in held]
     if not held:
         return docs.sparkSession.createDataFrame([], FOUND)
-    vocabulary = np.unique(np.concatenate(passage))
+    vocabulary = Vocabulary(np.concatenate(passage))
     counts = {r["word"]: r["df"] for r in document_frequencies(docs, vocabulary).toLocalIterator()}
     n_docs = counts.pop(None, 0)
-    df = np.array([counts.get(int(w), 0) for w in vocabulary.view(np.int64)])
+    df = np.array([counts.get(int(w), 0) for w in vocabulary.words.view(np.int64)])
     idf = np.log((1 + n_docs) / (1 + df)) + 0.1
     vectors = word_vectors(rows, vocabulary, idf, min(RANK, len(held))) * idf[:, None].astype(np.float32)
-    target = np.stack([vectors[_index(vocabulary, p)].sum(axis=0) for p in passage])
+    target = np.stack([vectors[vocabulary(p)].sum(axis=0) for p in passage])
     target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-12)
-    longest = max(len(p) for p in passage)
+    alike = [frozenset(p.tolist()) for p in passage]
+    # Windows at a time, so that their cosines take 64 MB at most.
+    several = max(64, (1 << 24) // max(len(target), vectors.shape[1]))
+
+    # A zero row for words that no passage has; their weight counts in a window's length.
+    vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
+    squares = np.append(idf, np.log((1 + n_docs) / 2) + 0.1) ** 2
 
     def searched(batches):
         split = words.Words()
@@ -216,28 +246,29 @@ def _found(docs: DataFrame, rows: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(n)), n_blocks)
             step = np.arange(len(doc)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
             starts = begins[doc] + step * STEP
-            at = _index(vocabulary, hashes)
-            sums = _block_sums(at, starts, vectors)
+            stops = np.minimum(starts + STEP, ends[doc])
+            at = vocabulary(hashes)
+            lengths = np.concatenate([[0.0], np.cumsum(squares[at])])
+            lengths = lengths[stops] - lengths[starts]
             # A window: a block and, in the same document, the next one.
-            window = sums.copy()
-            follows = np.flatnonzero(doc[1:] == doc[:-1])
-            window[follows] += sums[follows + 1]
-            window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-12)
+            joined = np.append(doc[1:] == doc[:-1], False)[: len(doc)]
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            several = max(1, (1 << 24) // len(target))
-            for k in range(0, len(window), several):
-                cosines = window[k : k + several] @ target.T
+            for k in range(0, len(starts), several):
+                end = min(k + several, len(starts))
+                sums = _block_sums(at, starts[k : end + 1], stops[k : end + 1], vectors)
+                window, length = sums[: end - k].copy(), lengths[k:end].copy()
+                follows = np.flatnonzero(joined[k:end])
+                window[follows] += sums[follows + 1]
+                length[follows] += lengths[k + follows + 1]
+                window /= np.sqrt(np.maximum(length, 1e-12))[:, None].astype(np.float32)
+                cosines = window @ target.T
                 for w, p in zip(*np.nonzero(cosines >= COSINE), strict=True):
                     d, own = int(doc[k + w]), passage[p]
                     lo = max(begins[d], starts[k + w] - len(own))
                     hi = min(ends[d], starts[k + w] + 2 * STEP + len(own))
-                    common = common_subsequence(own, hashes[lo:hi]) / len(own)
-                    if common < LOOSE:
-                        continue
-                    last = own[-max(1, len(own) // 4) :]
-                    answer = common_subsequence(last, hashes[lo:hi]) / len(last)
-                    if common >= COMMON or answer >= ANSWER:
-                        found = (common, answer, float(cosines[w, p]))
+                    found = checked(own, alike[p], hashes[lo:hi])
+                    if found:
+                        found = (*found, float(cosines[w, p]))
                         best[d, p] = max(best.get((d, p), found), found)
             yield _found_rows(part, best)
 
@@ -257,23 +288,31 @@ def _found(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(searched, FOUND)
 
 
-def _block_sums(at: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Sums of word vectors from each start to the next, a bounded number of words a time."""
+def _block_sums(at: np.ndarray, starts: np.ndarray, stops: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of at most STEP words from each start; the last row is zero."""
     out = np.zeros((len(starts), vectors.shape[1]), np.float32)
-    known = np.flatnonzero(at >= 0)
-    first = np.searchsorted(known, starts)
-    edges = np.append(first, len(known))
-    k = 0
-    while k < len(starts):
-        end = max(k + 1, int(np.searchsorted(edges, edges[k] + CHUNK_WORDS, "right")) - 1)
-        rows = vectors[at[known[edges[k] : edges[end]]]]
-        filled = np.flatnonzero(np.diff(edges[k : end + 1])) + k
-        if len(filled):
-            out[filled] = np.add.reduceat(rows, edges[filled] - edges[k], axis=0)
-        k = end
+    if len(at):
+        for k in range(STEP):
+            place = starts + k
+            out += vectors[np.where(place < stops, at[np.minimum(place, len(at) - 1)], -1)]
     return out
 
 
+def checked(passage: np.ndarray, alike: frozenset, text: np.ndarray) -> tuple[float, float] | None:
+    """Shares of the passage and of its answer that are in the text in order, if enough."""
+    own, around = passage.tolist(), text.tolist()
+    # No common subsequence is longer than the number of its words that occur at all.
+    there = alike.intersection(around)
+    if sum(w in there for w in own) < LOOSE * len(own):
+        return None
+    common = common_subsequence(own, around) / len(own)
+    if common < LOOSE:
+        return None
+    last = own[-max(1, len(own) // 4) :]
+    answer = common_subsequence(last, around) / len(last)
+    return (common, answer) if common >= COMMON or answer >= ANSWER else None
+
+
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     gone = find(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_other")).distinct()
