@@ -74,7 +74,8 @@ def features(texts: list[str]) -> np.ndarray:
         code = np.zeros(len(symbols), np.uint64)
         for k in range(GRAM):
             code = code * np.uint64(257) + padded[k : k + len(symbols)]
-        np.add.at(out[row], (words.mixed(code) % np.uint64(TERMS)).astype(np.int64), 1)
+        places = (words.mixed(code) % np.uint64(TERMS)).astype(np.int64)
+        out[row, :TERMS] = np.bincount(places, minlength=TERMS)
         for k, share in enumerate(_shares(text)):
             # One place for each eighth of a share, so that shares are terms like others.
             out[row, TERMS + 8 * k + min(7, int(share * 8))] = 1
