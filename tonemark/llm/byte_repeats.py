@@ -3,24 +3,27 @@
 A byte goes if it lies in a string of `LENGTH` bytes that also starts anywhere else.
 Sorting all suffixes would move every byte many times, so suffixes are sampled first:
 every window of `LENGTH` bytes is stood for by the leftmost of its `GRAM`-byte strings
-with the smallest hash. Equal windows have equal samples at equal places, consecutive
-windows mostly share theirs, so there is about one sampled suffix for 69 bytes.
+with the smallest hash. Equal windows have equal samples at equal places, and consecutive
+windows mostly share theirs: a run of windows, about 69 of them, has one sampled suffix.
 
-Prefix doubling runs on these and then on the windows that are still open:
+Ranks start from the first GRAM bytes of the sampled suffix and are refined with names of
+ever longer strings around it, until they are unique or reach LENGTH bytes:
 
-1. Rank by the first GRAM bytes of the sampled suffix; unique ranks are done, no window
-   that they stand for can repeat.
-2. Rank the whole stretch of bytes of the windows that share a sample. If it repeats, all
-   its windows do. If it is unique, its windows may still repeat in stretches with other
-   ends; one stretch of each rank under the same sample speaks for its copies.
-3. Every window of such a stretch becomes a position with the names of its first GRAM
-   bytes and of those at offset GRAM; Spark ranks the pairs, unique positions are done.
-4. The rest pair their rank with the bytes at 2 * GRAM and at LENGTH - GRAM, which passes
-   the threshold: positions with equal ranks now start equal strings of LENGTH bytes.
+1. Ranks of the first bytes; unique ones are done, no window of their run can repeat.
+2. Names of whole runs (all bytes of their windows). If one repeats, all its windows do.
+   A unique run may still share windows with runs of other ends under the same rank; one
+   run of each name speaks for its copies from here on.
+3. Runs are cut into blocks of 32, then 8, then single windows, by the place of the
+   sample in the window. What all windows of a block have in common (169, 193, then 200
+   bytes) is the next name: Spark ranks the pairs of old rank and name, and a unique pair
+   ends its block. What the block's windows cover together decides the other way: if that
+   repeats, the whole block does. Only blocks with an end of a match go to the next round.
 
-Names are 64-bit hashes of 64 bytes each, and four of them cover a window; stretches have
-128-bit hashes. Each ranking counts in map-side aggregates and is joined back, so a rank
-that a third of all positions share is split over tasks.
+Every round counts in map-side aggregates and joins the counts back, so a rank that a
+third of all positions share is split over tasks. The text moves once: compressed, dealt by
+document and cached, from where all rounds read it.
+
+Ranks and names pair up to 128 bits: a name of 64 bits is only compared within a rank.
 
 Defined results: null texts count as empty; matches never cross documents; texts of fewer
 than LENGTH bytes lose nothing; rows equal in doc_id and text are copies of each other and
@@ -39,12 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonemark.llm import words
-from tonemark.llm.common import staged
+from tonemark.llm.common import KEY, dealt_texts, staged, texts_of
 
 LENGTH = 200
 GRAM = 64
-_RUNS = "d long, th long, i0 int, i1 int, core long, e1 long, e2 long"
-KEY = ["d", "th"]
+BLOCKS = (32, 8, 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -83,123 +85,173 @@ def samples(grams: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(after[:last], before[width - 1 : width - 1 + last]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _signed(digest: bytes) -> int:
-    return int.from_bytes(digest, "big", signed=True)
+_RUNS = "d long, th long, i0 int, i1 int, m int, core long, e long"
 
 
 def _runs(length: int, gram: int):
+    """Runs of windows: first and last start, the sample's place, its rank and the run's name."""
+
     def run(batches):
         hashed = Grams(gram)
         for batch in batches:
-            ids, hashes, first, last, cores, high, low = [], [], [], [], [], [], []
+            out: list[list] = [[] for _ in range(7)]
             keys = (batch.column(c).to_pylist() for c in KEY)
-            for d, th, text in zip(*keys, batch.column("text"), strict=True):
-                data = text.as_py().encode("utf-8", "replace")
+            for d, th, data in zip(*keys, texts_of(batch), strict=True):
                 if len(data) < length:
                     continue
                 grams = hashed(np.frombuffer(data, np.uint8))
                 at = samples(grams, length - gram + 1)
                 starts = np.flatnonzero(np.diff(at, prepend=-1))
-                ends = np.append(starts[1:], len(at)) - 1
-                ids += [d] * len(starts)
-                hashes += [th] * len(starts)
-                first += starts.tolist()
-                last += ends.tolist()
-                cores += grams[at[starts]].view(np.int64).tolist()
-                digests = [xxhash.xxh3_128_digest(data[a : b + length]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                high += both[:, 0].tolist()
-                low += both[:, 1].tolist()
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3]
-            columns = (ids, hashes, first, last, cores, high, low)
+                first, last = starts.tolist(), (np.append(starts[1:], len(at)) - 1).tolist()
+                names = [xxhash.xxh3_64_intdigest(data[a : b + length]) for a, b in zip(first, last, strict=True)]
+                own = ([d] * len(first), [th] * len(first), first, last, at[starts].tolist(),
+                       grams[at[starts]].view(np.int64).tolist(), np.array(names, np.uint64).view(np.int64).tolist())
+                for column, values in zip(out, own, strict=True):
+                    column += values
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.record_batch(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*KEY, "i0", "i1", "core", "e1", "e2"]
+                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [*KEY, "i0", "i1", "m", "core", "e"]
             )
 
     return run
 
 
-_POSITIONS = "d long, th long, i int, alone boolean, n0 long, n1 long, n2 long, n3 long"
+_BYTES = "d long, th long, m int, lo int, hi int, rank long, target boolean, data binary"
 
 
-def _positions(length: int, gram: int):
-    """Windows of the stretches still open, with the names of the bytes they start with."""
+def _cut_out(length: int):
+    """The bytes of every open run, with the places of the sample in its windows, lo to hi."""
 
     def run(batches):
-        hashed = Grams(gram)
         for batch in batches:
-            for k in range(batch.num_rows):
-                key = [batch.column(c)[k].as_py() for c in KEY]
-                grams = hashed(np.frombuffer(batch.column("text")[k].as_py().encode("utf-8", "replace"), np.uint8)).view(np.int64)
-                places, alone = [], []
-                for span in batch.column("open")[k].as_py():
-                    places.append(np.arange(span["i0"], span["i1"] + 1))
-                    alone.append(np.full(len(places[-1]), span["alone"]))
-                i, alone = np.concatenate(places), np.concatenate(alone)
-                for at in range(0, len(i), 50_000):
-                    p = i[at : at + 50_000]
-                    yield pa.record_batch(
-                        [
-                            *(pa.array(np.full(len(p), x)) for x in key),
-                            pa.array(p.astype(np.int32)),
-                            pa.array(alone[at : at + 50_000]),
-                            *(pa.array(grams[p + offset]) for offset in (0, gram, 2 * gram, length - gram)),
-                        ],
-                        [*KEY, "i", "alone", "n0", "n1", "n2", "n3"],
-                    )
+            for d, th, data, runs in zip(*(batch.column(c).to_pylist() for c in KEY), texts_of(batch), batch.column("open").to_pylist(), strict=True):
+                rows = [
+                    (d, th, r["m"], r["m"] - r["i1"], r["m"] - r["i0"], r["core"], r["target"], data[r["i0"] : r["i1"] + length])
+                    for r in runs
+                ]
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.record_batch(
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                    [*KEY, "m", "lo", "hi", "rank", "target", "data"],
+                )
 
     return run
 
 
-def _ranked(positions: DataFrame, pair: list[str]) -> DataFrame:
-    """Positions whose pair is not unique, with the pair's rank in sorted order."""
-    # A rank only needs to order the pairs and tell them apart, so ids that ascend over
-    # sorted partitions will do.
-    shared = positions.groupBy(*pair).count().filter("count > 1").drop("count")
-    ranks = staged(
-        shared.repartitionByRange(*pair).sortWithinPartitions(*pair).withColumn("rank", F.monotonically_increasing_id()),
-        "ranks",
-    )
-    return positions.join(ranks, pair).drop(*pair)
+_NAMES = "cid long, rank long, b0 int, b1 int, target boolean, inner long, outer long"
+
+
+def _named(length: int, gram: int, size: int):
+    """For each open block, its sub-blocks of `size` windows with the names of what their
+    windows have in common and of what they cover together (null if the run lacks a part)."""
+    places = length - gram + 1
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                data, lo, hi = r["data"], r["lo"], r["hi"]
+                for part in r["open"]:
+                    first = max(part["b0"], lo) // size * size
+                    for b0 in range(first, min(part["b1"], hi) + 1, size):
+                        b1 = min(b0 + size, places) - 1
+                        # The sample lies hi bytes into the data.
+                        inner = xxhash.xxh3_64_intdigest(data[hi - b0 : hi - b1 + length])
+                        whole = b0 >= lo and b1 <= hi
+                        outer = xxhash.xxh3_64_intdigest(data[hi - b1 : hi - b0 + length]) if whole else None
+                        rows.append((r["cid"], part["rank"], b0, b1, part["target"], inner, outer))
+                if len(rows) >= 20_000:
+                    yield _name_batch(rows)
+                    rows = []
+            if rows:
+                yield _name_batch(rows)
+
+    return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key of joins: the doc_id, never null, and the text's hash."""
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        doc_id.alias("doc_id"),
-        text.alias("text"),
-        F.coalesce(doc_id, F.lit(-(1 << 63))).alias("d"),
-        F.xxhash64(text).alias("th"),
+def _name_batch(rows):
+    cid, rank, b0, b1, target, inner, outer = zip(*rows, strict=True)
+    signed = [np.array([x or 0 for x in names], np.uint64).view(np.int64) for names in (inner, outer)]
+    return pa.record_batch(
+        [
+            pa.array(cid, pa.int64()), pa.array(rank, pa.int64()), pa.array(b0, pa.int32()), pa.array(b1, pa.int32()),
+            pa.array(target, pa.bool_()), pa.array(signed[0]), pa.array(signed[1], mask=np.array([x is None for x in outer])),
+        ],
+        ["cid", "rank", "b0", "b1", "target", "inner", "outer"],
+    )
+
+
+def _refined(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks that repeat as a whole, and those that go on, under their new rank."""
+    whole = ["rank", "b0", "outer"]
+    repeated = names.filter("outer is not null").groupBy(*whole).count().filter("count > 1").drop("count")
+    repeated = staged(repeated.withColumn("again", F.lit(True)), "repeated-blocks")
+    marked = names.join(repeated, whole, "left")
+    settled = marked.filter("target and again").select("cid", "b0", "b1")
+    going = marked.withColumn("target", F.col("target") & F.col("again").isNull())
+    pair = ["rank", "b0", "inner"]
+    # A rank needs to order the pairs and tell them apart: ids that ascend over sorted
+    # partitions do.
+    ranks = (
+        going.groupBy(*pair)
+        .agg(F.count("*").alias("n"), F.max("target").alias("wanted"))
+        .filter("n > 1 and wanted")
+        .select(*pair)
+        .repartitionByRange(*pair)
+        .sortWithinPartitions(*pair)
+        .withColumn("next", F.monotonically_increasing_id())
     )
+    ranks = staged(ranks, "ranks")
+    going = going.join(ranks, pair).select("cid", "b0", "b1", F.col("next").alias("rank"), "target")
+    return settled, going
 
 
-def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _shared_runs(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Round 1: runs whose sample starts with bytes that are not unique."""
+    runs = texts.select(*KEY, "packed").mapInArrow(_runs(length, gram), _RUNS)
+    cores = staged(runs.groupBy("core").count().filter("count > 1").select("core"), "cores")
+    return staged(runs.join(cores, "core"), "shared-runs")
+
+
+def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(d, th, i0, i1): starts of strings of `length` bytes that start anywhere else too."""
-    if not gram * 2 <= length <= 3 * gram + gram:
-        raise ValueError("two to four grams must cover the length")
-    runs = staged(rows.select(*KEY, "text").mapInArrow(_runs(length, gram), _RUNS), "runs")
-    # Round 1: the first bytes of sampled suffixes.
-    open_cores = runs.groupBy("core").count().filter("count > 1").select("core")
-    shared = staged(runs.join(open_cores, "core"), "shared-runs")
-    # Round 2: whole stretches.
-    whole = ["core", "e1", "e2"]
+    if not gram <= length:
+        raise ValueError("a sampled string must fit into the length")
+    shared = _shared_runs(texts, length, gram)
+    named = ["core", "e"]
     classes = staged(
-        shared.groupBy(*whole).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "i0", "i1")).alias("one")), "stretches"
+        shared.groupBy(*named).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "i0", "i1", "m")).alias("one")), "run-names"
     )
-    settled = shared.join(classes.filter("n > 1").select(*whole), whole).select(*KEY, "i0", "i1")
-    contested = classes.groupBy("core").count().filter("count > 1").select("core")
-    # Where every stretch of a sample repeats, no window is open.
-    waiting = classes.filter("n = 1").select("core").distinct()
-    speakers = classes.join(contested.join(waiting, "core"), "core").select("one.*", (F.col("n") == 1).alias("alone"))
-    spoken = speakers.groupBy(*KEY).agg(F.collect_list(F.struct("i0", "i1", "alone")).alias("open"))
-    texts = rows.select(*KEY, "text").join(spoken, KEY)
-    positions = staged(texts.mapInArrow(_positions(length, gram), _POSITIONS), "positions")
-    # Rounds 3 and 4: pairs of ranks at growing offsets.
-    doubled = staged(_ranked(positions, ["n0", "n1"]).withColumnRenamed("rank", "r"), "doubled")
-    final = doubled.groupBy("r", "n2", "n3").count().filter("count > 1").drop("count")
-    last = doubled.filter("alone").join(final, ["r", "n2", "n3"]).select(*KEY, F.col("i").alias("i0"), F.col("i").alias("i1"))
-    return settled.unionByName(last)
+    found = shared.join(classes.filter("n > 1").select(*named), named).select(*KEY, "i0", "i1")
+    # Ranks under which a run is unique, but not the only one.
+    contested = (
+        classes.groupBy("core")
+        .agg(F.count("*").alias("k"), F.min("n").alias("least"))
+        .filter("k > 1 and least = 1")
+        .select("core")
+    )
+    speakers = classes.join(staged(contested, "contested"), "core").select("one.*", "core", (F.col("n") == 1).alias("target"))
+    open_runs = speakers.groupBy(*KEY).agg(F.collect_list(F.struct("i0", "i1", "m", "core", "target")).alias("open"))
+    cut = texts.select(*KEY, "packed").join(open_runs, KEY).mapInArrow(_cut_out(length), _BYTES)
+    # A document that is there twice has its runs twice, which changes no count of theirs:
+    # targets are in one document only.
+    runs = staged(cut.withColumn("cid", F.monotonically_increasing_id()), "run-bytes")
+    going = runs.select("cid", F.lit(0).alias("b0"), F.lit(length).alias("b1"), "rank", "target")
+    settled = []
+    for size in BLOCKS:
+        blocks = going.groupBy("cid").agg(F.collect_list(F.struct("b0", "b1", "rank", "target")).alias("open"))
+        joined = runs.select("cid", "lo", "hi", "data").join(blocks, "cid")
+        names = staged(joined.mapInArrow(_named(length, gram, size), _NAMES), "block-names")
+        done, going = _refined(names)
+        settled.append(done)
+        if size > 1:
+            going = staged(going, "open-blocks")
+    for done in settled:
+        placed = done.join(runs.select("cid", *KEY, "m"), "cid")
+        found = found.unionByName(
+            placed.select(*KEY, (F.col("m") - F.col("b1")).alias("i0"), (F.col("m") - F.col("b0")).alias("i1"))
+        )
+    return found
 
 
 def cut(data: bytes, spans, length: int = LENGTH) -> tuple[int, int, int, str, bytes]:
@@ -219,18 +271,15 @@ _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 
 def clean(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = True) -> DataFrame:
     """One row per document: counts, the SHA-256 of the bytes that stay, and those bytes."""
-    rows = keyed(docs)
-    found = repeated_windows(rows, length, gram)
+    texts = dealt_texts(docs)
+    found = repeated_windows(texts, length, gram)
     spans = found.groupBy(*KEY).agg(F.collect_list(F.struct("i0", "i1")).alias("spans"))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = [
-                    cut(text.as_py().encode("utf-8", "replace"), s.as_py(), length)
-                    for text, s in zip(part.column("text"), part.column("spans"), strict=True)
-                ]
+                out = [cut(text, s.as_py(), length) for text, s in zip(texts_of(part), part.column("spans"), strict=True)]
                 numbers = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
                 kept = pa.array([o[4] if with_bytes else None for o in out], pa.binary())
                 yield pa.record_batch(
@@ -238,5 +287,7 @@ def clean(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: b
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    out = rows.join(spans, KEY, "left").select("doc_id", "text", "spans").mapInArrow(run, _CUT)
-    return out if with_bytes else out.drop("kept")
+    out = texts.join(spans, KEY, "left").select("doc_id", "packed", "spans").mapInArrow(run, _CUT)
+    done = staged(out if with_bytes else out.drop("kept"), "cleaned")
+    texts.unpersist()
+    return done

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,39 @@ def doc_rows(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
     )
+
+
+KEY = ["d", "th"]
+
+
+def dealt_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, the key of joins and the packed text, dealt by the key and cached.
+
+    The key is the doc_id, never null, and the text's hash. The text moves once, packed;
+    joins on the key read it from the cache, which spills to disk and is made again from
+    the shuffle if an executor is lost. The caller unpersists it.
+    """
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [packer.compress(x.as_py().encode("utf-8", "replace")) for x in batch.column("text")]
+            yield pa.record_batch(
+                [*(batch.column(c) for c in ("doc_id", *KEY)), pa.array(packed, pa.binary())], ["doc_id", *KEY, "packed"]
+            )
+
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(
+        doc_id.alias("doc_id"),
+        F.coalesce(doc_id, F.lit(-(1 << 63))).alias("d"),
+        F.xxhash64(text).alias("th"),
+        text.alias("text"),
+    )
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = keyed.mapInArrow(run, "doc_id long, d long, th long, packed binary")
+    return packed.repartition(partitions, *KEY).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def texts_of(batch: pa.RecordBatch) -> list[bytes]:
+    opened = zstandard.ZstdDecompressor()
+    return [opened.decompress(x.as_py()) for x in batch.column("packed")]
