@@ -79,3 +79,14 @@ def test_evaluate_has_one_row_per_group(spark):
     assert result["n_clips"] == 4
     assert result["confusion_matrix"] == [[2, 0, 0], [0, 0, 0], [0, 0, 2]]
     assert result["latency_p50_ms"] == 1.0
+
+
+def test_groups_without_latency_or_name_have_their_row(spark):
+    rows = clip_rows(spark, [(t, p, p) for t, p in INCONGRUENT])
+    solutions = F.explode(F.array(F.lit("A"), F.lit("B"), F.lit(None).cast("string")))
+    keyed = rows.select(
+        "*", solutions.alias("solution"), F.lit("d").alias("dataset"), F.lit("all").alias("split_type")
+    ).withColumn("latency_ms", F.when(F.col("solution") == "A", F.col("latency_ms")))
+    got = {r["solution"]: r for r in metrics.evaluate(keyed).collect()}
+    assert set(got) == {"A", "B", None} and got["B"]["latency_p50_ms"] is None
+    assert all(r["n_clips"] == 4 and r["ece"] is not None for r in got.values())

@@ -61,16 +61,22 @@ def test_loo_equals_deleting_the_row(spark, width):
     )
 
 
-def test_wide_statistics_path(spark, monkeypatch):
-    import tonemark.operators.normalise as module
-
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(9, 20))
+@pytest.mark.parametrize("width", [4, 20, 200])
+def test_one_gap_spoils_its_dimension_at_any_width(spark, width):
+    x = np.random.default_rng(1).normal(size=(9, width))
+    x[0, 0] = np.nan
     groups = np.array(["a"] * 5 + ["b"] * 4)
-    df = table(spark, x, groups)
-    plain = run(df, "speaker_z_loo", 20)
-    monkeypatch.setattr(module, "WIDE_LIMIT", 10)
-    assert run(df, "speaker_z_loo", 20) == pytest.approx(plain, abs=1e-9)
+    # Gaps come back as NULL.
+    got = run(table(spark, x, groups), "speaker_z_loo", width).astype(float)
+    assert np.isnan(got[:5, 0]).all() and np.isnan(got).sum() == 5
+    assert got[:, 1:] == pytest.approx(naive_loo(x[:, 1:], groups), abs=1e-9)
+
+
+def test_null_groups_are_groups(spark):
+    df = table(spark, [1, 3, 101, 103], [None, None, "b", "b"])
+    assert run(df, "speaker_z", 1).ravel().tolist() == [-1, 1, -1, 1]
+    rows = spark.createDataFrame([("c0", None, 2.0), ("c1", None, 4.0), ("c2", "s", 1.0)], "clip_id string, source string, v double")
+    assert {r["clip_id"]: r["z"] for r in z_within(rows, "v", ["source"]).collect()} == {"c0": -1, "c1": 1, "c2": 0}
 
 
 def test_pool_separates_sets(spark):

@@ -78,7 +78,7 @@ def test_emotion_mapping_never_defaults(spark):
     assert [tuple(r) for r in got] == [
         ("positive", "mapped"), (None, "ambiguous"), (None, "unknown"), (None, "unknown"),
     ]
-    with pytest.raises(ValueError, match="unknown scheme"):
+    with pytest.raises(ValueError, match="no tag list"):
         map_emotion(F.col("tag"), "other")
     with pytest.raises(PySparkException, match="ambiguous emotion tag: calm"):
         strict = map_emotion(F.col("tag"), "cartesia", strict=True)["sentiment"]
@@ -155,6 +155,26 @@ def test_feature_store_resumes(spark, tmp_path):
     assert feature_store.append(clips, embed, 2, path).count() == 3
 
 
+def test_a_run_cut_off_midway_keeps_its_commits(spark, tmp_path):
+    path = str(tmp_path / "store")
+    clips = spark.range(200).selectExpr("concat('c', id) AS clip_id", "cast(id AS double) AS payload")
+
+    def broken(x):
+        return np.zeros(3 if x == 150 else 2, dtype=np.float32)
+
+    with pytest.raises(PySparkException):
+        feature_store.append(clips, broken, 2, path)
+    kept = {r["clip_id"] for r in feature_store.scan(spark, path).collect()}
+    assert kept and "c150" not in kept
+
+    def fixed(x):
+        # Stored clips are not extracted again.
+        return np.full(2, 7.0, dtype=np.float32)
+
+    store = {r["clip_id"]: r["features"][0] for r in feature_store.append(clips, fixed, 2, path).collect()}
+    assert len(store) == 200 and {k for k, v in store.items() if v == 0.0} == kept
+
+
 def test_missing_features_raise(spark):
     m = rows(spark)
     store = m.where("clip_id = 'c0'").select("clip_id")

@@ -196,3 +196,19 @@ PEAK_TARGET, SILENCE_PEAK = 0.95, 1e-6
 MAX_REQUEST_SAMPLES = 48_000 * 60
 MAX_SAMPLE_RATE = 192_000
 SKEW_KEEP = {"balanced": 1.0, "moderate": 0.45, "strong": 0.22}
+
+# Names of the acoustic descriptors, in the published order.
+DESCRIPTORS = (
+    "f0_mean",
+    "f0_std",
+    "f0_range",
+    "egemaps_loudness",
+    "egemaps_hnr",
+    "egemaps_jitter",
+    "egemaps_shimmer_db",
+    "rms",
+    "speech_rate_cps",
+)
+
+# File names of the acted corpus: speaker, sentence code, emotion, intensity.
+ACTED_FILE = r"^(\d{4})_([A-Z]{3,4})_([A-Z]{3})_([A-Z0-9]{1,2})\.wav$"

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from tonemark.operators import joins, learn, metrics, scoring
 from tonemark.operators.bootstrap import bootstrap_ci
+from tonemark.operators.calibration import impute, median_vector
 from tonemark.operators.joins import delta_vs_baseline
 from tonemark.operators.normalise import SCHEMES, normalise
 from tonemark.operators.sampling import combo_train_set, skewed_draws
 from tonemark.operators.summaries import draw_aggregate
+from tonemark.sources.storage import new_path
 
 KEPT = ("clip_id", "speaker_id", "prosody_sentiment", "text_sentiment")
 
@@ -32,6 +34,21 @@ def named_sets(sets: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def imputed(train: DataFrame, evals: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with gaps filled by the training medians, where either has gaps."""
+    if not (learn.has_gaps(train) or learn.has_gaps(evals)):
+        return train, evals
+    medians = median_vector(train, width)
+    return impute(train, medians), impute(evals, medians)
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """Narrow scored rows, written once for the aggregates that follow."""
+    path = new_path(rows.sparkSession, "scored")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def normalisation(
     train: DataFrame,
     eval_sets: Mapping[str, DataFrame],
@@ -40,9 +57,10 @@ def normalisation(
 ) -> DataFrame:
     """Scores of every scheme and model per set, with the change from raw features.
 
-    Training rows never take the leave-one-out form: there it protects nothing.
+    Gaps are filled with the training medians before anything is normalised. Training rows
+    never take the leave-one-out form: there it protects nothing.
     """
-    evals = named_sets(eval_sets)
+    train, evals = imputed(train, named_sets(eval_sets), width)
     fitted = dict(
         zip(
             SCHEMES[:3],
@@ -61,7 +79,7 @@ def normalisation(
         rows = normalise(evals, scheme, width, pool=["eval_set"])
         parts.append(learn.score_all(models_of, rows).withColumn("scheme", F.lit(scheme)))
     keys = ["scheme", "model", "eval_set"]
-    rows = _stack([p.select(*KEPT, "sentiment", *keys) for p in parts])
+    rows = stored(_stack([p.select(*KEPT, "sentiment", *keys) for p in parts]))
     scores = metrics.summarise(
         rows, keys, ["n_clips", "uar", "macro_f1", "psi_contested", "psi_strict"]
     )
@@ -85,14 +103,22 @@ def skew(
     statistics are taken within a draw.
     """
     draw = ["level", "majority", "seed"]
-    draws = skewed_draws(evaluation.select(*KEPT, "features"), seeds=seeds)
+    keys = ["scheme", "model", *draw]
+    train, evaluation = imputed(train, evaluation.select(*KEPT, "features"), width)
+    # Draws hold ids only; vectors join where a draw changes them.
+    draws = stored(skewed_draws(evaluation.select(*KEPT), seeds=seeds))
+    vectors = evaluation.select("clip_id", "features")
     parts = []
     for scheme in schemes:
         fitted = learn.fit(normalise(train, scheme, width), width, models)
-        rows = normalise(draws, scheme, width, pool=draw)
-        parts.append(learn.score_all(fitted, rows).withColumn("scheme", F.lit(scheme)))
-    keys = ["scheme", "model", *draw]
-    rows = _stack([p.select(*KEPT, "sentiment", *keys) for p in parts])
+        if scheme == "raw":
+            once = stored(learn.score_all(fitted, vectors).select("clip_id", "sentiment", "model"))
+            scored = draws.join(once, "clip_id")
+        else:
+            rows = normalise(draws.join(vectors, "clip_id"), scheme, width, pool=draw)
+            scored = learn.score_all(fitted, rows)
+        parts.append(scored.withColumn("scheme", F.lit(scheme)))
+    rows = stored(_stack([p.select(*KEPT, "sentiment", *keys) for p in parts]))
     per_draw = metrics.summarise(rows, keys, ["n_clips", "uar", "psi_contested"])
     level = ["scheme", "model", "level"]
     uar = draw_aggregate(per_draw, level, "uar").withColumnsRenamed(
@@ -110,7 +136,7 @@ def skew(
 
 
 def combos(
-    base: DataFrame, first: DataFrame, second: DataFrame, *, width: int, n_boot: int = 500
+    base: DataFrame, first: DataFrame, second: DataFrame, *, width: int, n_boot: int = 2000
 ) -> DataFrame:
     """Four training combinations scored on every set that shares no speaker with them."""
     extras = {
@@ -124,6 +150,22 @@ def combos(
         for name, parts in extras.items()
     }
     eval_sets = {"base_test": base.where("split = 'test'"), "first": first, "second": second}
+    return training_matrix(train_sets, eval_sets, width=width, n_boot=n_boot)
+
+
+def training_matrix(
+    train_sets: Mapping[str, DataFrame],
+    eval_sets: Mapping[str, DataFrame],
+    *,
+    width: int,
+    exclude: Sequence[str] | None = None,
+    n_boot: int = 2000,
+) -> DataFrame:
+    """Every training set scored on every evaluation set, with intervals.
+
+    `in_domain` marks pairs with shared speakers. On the sets named in `exclude` (all, if
+    none are named) such pairs are not scored; they stay listed with the reason.
+    """
     members = _stack(
         [
             df.select("speaker_id").withColumn("train_set", F.lit(n))
@@ -131,7 +173,10 @@ def combos(
         ]
     )
     evals = named_sets(eval_sets)
-    matrix = joins.evaluation_matrix(members, evals)
+    matrix = joins.evaluation_matrix(members, evals).withColumn("in_domain", F.col("n_shared") > 0)
+    if exclude is not None:
+        strict = F.col("eval_set").isin(list(exclude))
+        matrix = matrix.withColumn("excluded_reason", F.when(strict, F.col("excluded_reason")))
     fitted = learn.in_parallel(
         [lambda df=df: learn.fit(df, width)["logreg"] for df in train_sets.values()]
     )
@@ -142,8 +187,10 @@ def combos(
         ]
     ).select(*KEPT, "sentiment", "train_set", "eval_set")
     keys = ["train_set", "eval_set"]
-    # Pairs with shared speakers are not scored; they stay listed with the reason.
-    honest = scored.join(matrix.where(F.col("excluded_reason").isNull()).select(*keys), keys)
+    matrix = stored(matrix)
+    honest = stored(
+        scored.join(matrix.where(F.col("excluded_reason").isNull()).select(*keys), keys)
+    )
     names = ["n_clips", "n_incongruent", "uar", "macro_f1", "psi_contested"]
     results = metrics.summarise(honest, keys, names)
     intervals = bootstrap_ci(honest, keys, n_boot=n_boot).select(*keys, "uar_lo", "uar_hi")
@@ -152,12 +199,14 @@ def combos(
         matrix.join(results, keys, "left")
         .join(intervals, keys, "left")
         .join(collapsed, keys, "left")
-        .withColumn("suspicious", scoring.suspicious(F.col("uar")))
+        .withColumn("suspicious", scoring.suspicious(F.col("uar")) & ~F.col("in_domain"))
     )
 
 
-def zero_shot_vs_retrained(base: DataFrame, extra: DataFrame, *, width: int) -> DataFrame:
-    """The shipped model on a new corpus against models retrained with it.
+def zero_shot_vs_retrained(
+    base: DataFrame, extra: DataFrame, *, width: int, n_boot: int = 2000
+) -> DataFrame:
+    """The shipped model on a new corpus against models retrained with it, with intervals.
 
     Only rows with split = 'train' are fitted. The set a combination selects its
     model on is not scored for that combination.
@@ -184,5 +233,9 @@ def zero_shot_vs_retrained(base: DataFrame, extra: DataFrame, *, width: int) ->
     ).select(*KEPT, "sentiment", "condition", "eval_set")
     keys = ["condition", "eval_set"]
     names = ["n_clips", "uar", "macro_f1", "psi_contested", "psi_strict"]
+    rows = stored(rows)
     scores = metrics.summarise(rows, keys, names)
-    return scores.withColumn("suspicious", scoring.suspicious(F.col("uar")))
+    intervals = bootstrap_ci(rows, keys, n_boot=n_boot)
+    return scores.join(
+        intervals.select(*keys, "uar_lo", "uar_hi", "psi_lo", "psi_hi"), keys, "left"
+    ).withColumn("suspicious", scoring.suspicious(F.col("uar")))

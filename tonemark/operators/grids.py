@@ -50,7 +50,7 @@ def emotion_probe_grid(voices: DataFrame) -> DataFrame:
     args = [F.col(c) for c in factors[:3]]
     return g.select(
         *voices.columns,
-        F.concat_ws("_", F.lit("d1"), *factors).alias("clip_id"),
+        F.concat_ws("_", F.lit("d1"), *factors, *voices.columns).alias("clip_id"),
         *factors,
         probe_text(*args).alias("text"),
         F.when(
@@ -72,7 +72,7 @@ def described_grid(voices: DataFrame) -> DataFrame:
     suffix = F.when(F.col("has_description"), "desc").otherwise("nodesc")
     return g.select(
         *voices.columns,
-        F.concat_ws("_", F.lit("hume"), *args, suffix).alias("clip_id"),
+        F.concat_ws("_", F.lit("hume"), *args, suffix, *voices.columns).alias("clip_id"),
         *[c for c in ("emotion", "text_condition", "length", "has_description")],
         probe_text(*args).alias("text"),
         carrier_group(*args).alias("carrier_group"),

@@ -28,17 +28,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemark import fixed_values as fixed
-from tonemark.functions.hashing import stable_hash
+from tonemark.functions.hashing import HASH_SPACE, stable_hash
 from tonemark.functions.labels import literal_map
 from tonemark.operators import metrics
 from tonemark.operators.calibration import train_medians
 from tonemark.operators.normalise import feature_stats
+from tonemark.operators.scale import global_order
 from tonemark.operators.scoring import prediction_columns
 from tonemark.schema import LABELS
+from tonemark.sources.storage import new_path
 
 LABEL = "prosody_sentiment"
 PARALLEL_FITS = 8
-SMALL_FRAME = 20_000
+# Labelled rows of one leave-one-group-out fit: more are thinned by hash.
+FIT_ROWS = 1_000_000
 
 
 def in_parallel(jobs: Sequence[Callable[[], object]]) -> list:
@@ -126,17 +129,10 @@ def class_weights(train: DataFrame, label: str = LABEL) -> tuple[dict[str, float
     return {c: total / (len(counts) * counts[c]) for c in order}, total
 
 
-def packed(df: DataFrame, n: int) -> DataFrame:
-    """One partition for a frame of few rows: an iterative fit starts a job per
-    step, and many near-empty tasks would cost more than the step."""
-    return df.coalesce(1) if n <= SMALL_FRAME else df
-
-
 def training_frame(
     train: DataFrame,
     prep: Preprocessing,
     weights: dict[str, float],
-    n: int,
     label: str = LABEL,
     balanced: bool = True,
 ) -> DataFrame:
@@ -150,10 +146,10 @@ def training_frame(
         "_x",
         array_to_vector("_x").alias("x"),
     )
-    return packed(kept, n).persist(StorageLevel.MEMORY_AND_DISK)
+    return kept.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _logreg(frame: DataFrame, total_weight: float, column: str = "x", max_iter: int = 200):
+def _logreg(frame: DataFrame, total_weight: float, column: str = "x", max_iter: int = 2000):
     # Half the squared norm plus the weighted losses, divided by the weights.
     return LogisticRegression(
         featuresCol=column,
@@ -164,7 +160,7 @@ def _logreg(frame: DataFrame, total_weight: float, column: str = "x", max_iter:
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-8,
+        tol=1e-12,
     ).fit(frame)
 
 
@@ -189,15 +185,36 @@ def fit_logreg(frame, weights, prep, n) -> Classifier:
     )
 
 
-def fit_mlp(frame, weights, prep, n, hidden: int = 128) -> Classifier:
-    model = MultilayerPerceptronClassifier(
-        featuresCol="x",
-        labelCol="y",
-        layers=[len(prep.means), hidden, len(weights)],
-        maxIter=100,
-        seed=0,
-    ).fit(frame)
-    return Classifier("mlp", list(weights), prep, _probability(model))
+def fit_mlp(
+    frame, weights, prep, n, hidden: int = 128, max_iter: int = 500, step: int = 25, patience: int = 2
+) -> Classifier:
+    """A network with early stopping: a tenth of the rows, by hash, is held out, and training
+    goes on in steps until the held-out loss has not fallen for `patience` steps."""
+    part = stable_hash("held", F.col("clip_id")) % 10
+    held = frame.where(part == 0)
+    seen = frame if held.isEmpty() else frame.where(part > 0)
+    best, best_loss, start, waited = None, float("inf"), None, 0
+    for _ in range(0, max_iter, step):
+        trainer = MultilayerPerceptronClassifier(
+            featuresCol="x",
+            labelCol="y",
+            layers=[len(prep.means), hidden, len(weights)],
+            maxIter=step,
+            seed=0,
+        )
+        if start is not None:
+            trainer = trainer.setInitialWeights(start)
+        model = trainer.fit(seen)
+        start = model.weights
+        right = F.element_at(vector_to_array("probability"), F.col("y").cast("int") + 1)
+        loss = model.transform(held).agg(F.avg(-F.log(F.greatest(right, F.lit(1e-12))))).first()[0]
+        if loss is None or loss < best_loss:
+            best, best_loss, waited = model, loss if loss is not None else best_loss, 0
+        else:
+            waited += 1
+        if waited >= patience:
+            break
+    return Classifier("mlp", list(weights), prep, _probability(best))
 
 
 def _dot(values: Column, coefficients: Sequence[float], intercept: float) -> Column:
@@ -209,10 +226,11 @@ def fit_linear_svm(frame, weights, prep, n, folds: int = 3) -> Classifier:
     """One-vs-rest linear SVM; margins become probabilities by Platt scaling.
 
     Each fold's SVM is calibrated on the fold it has not seen; the folds'
-    probabilities are averaged.
+    probabilities are averaged. Folds deal the rows of each class in turn, in hash order.
     """
     k = len(weights)
-    folded = frame.withColumn("fold", stable_hash("fold", F.col("clip_id")) % folds)
+    order = [F.col("y"), stable_hash("fold", F.col("clip_id")), F.col("clip_id")]
+    folded = global_order(frame, order).withColumn("fold", F.col("position") % folds)
 
     def one(fold: int, c: int):
         target = (F.col("y") == float(c)).cast("double")
@@ -262,7 +280,7 @@ def fit_linear_svm(frame, weights, prep, n, folds: int = 3) -> Classifier:
     return Classifier("linear_svm", list(weights), prep, add, [float(x) for x in magnitude])
 
 
-def fit_boosted_trees(frame, weights, prep, n, rounds: int = 10) -> Classifier:
+def fit_boosted_trees(frame, weights, prep, n, rounds: int = 100) -> Classifier:
     """One boosted ensemble per class against the rest, probabilities rescaled to one."""
 
     def one(c: int):
@@ -315,7 +333,7 @@ def fit_rbf_approx(frame, weights, prep, n, n_features: int = 256, seed: int = 0
     expand = random_fourier(width, n_features, 1.0 / width, seed)
     expanded = frame.withColumn("r", array_to_vector(expand("_x"))).select("y", "w", "r")
     expanded.persist(StorageLevel.MEMORY_AND_DISK)
-    model = _logreg(expanded, n, "r", 100)
+    model = _logreg(expanded, n, "r")
     expanded.unpersist()
 
     def add(df: DataFrame) -> DataFrame:
@@ -334,14 +352,24 @@ FITTERS = {
 
 
 def fit(
-    train: DataFrame, width: int, names: Sequence[str] = ("logreg",), *, impute: bool = False
+    train: DataFrame,
+    width: int,
+    names: Sequence[str] = ("logreg",),
+    *,
+    impute: bool | None = None,
 ) -> dict[str, Classifier]:
-    """Fit the named candidates on one training set."""
+    """Fit the named candidates on one training set: impute, scale, classify.
+
+    Gaps are filled with the training medians, which the models keep for scoring. Without
+    `impute` being set that is done where the training rows have gaps.
+    """
+    if impute is None:
+        impute = has_gaps(train)
     weights, n = class_weights(train)
     if len(weights) < 2:
         raise ValueError("training rows hold fewer than two classes")
     prep = fit_preprocessing(train, width, impute=impute)
-    frame = training_frame(train, prep, weights, n)
+    frame = training_frame(train, prep, weights)
     try:
         fitted = in_parallel([lambda f=FITTERS[x]: f(frame, weights, prep, n) for x in names])
     finally:
@@ -391,6 +419,12 @@ def top_features(table: DataFrame, k: int = 20) -> DataFrame:
     return table.orderBy(F.desc("importance"), "name").limit(k)
 
 
+def complete_vectors(df: DataFrame, features: str = "features") -> DataFrame:
+    """Rows whose vectors have no gap."""
+    gap = F.exists(features, lambda v: v.isNull() | F.isnan(v))
+    return df.where(~F.coalesce(gap, F.lit(True)))
+
+
 def leave_group_out(
     df: DataFrame,
     group: str,
@@ -399,28 +433,30 @@ def leave_group_out(
     label: str = LABEL,
     balanced: bool,
     single_class: str = "skip",
-    max_folds: int = 32,
+    fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """Out-of-fold predictions, each group predicted by a model that never saw it.
 
-    With more groups than `max_folds`, whole groups are hashed into that many
-    folds; the `fold` column shows which. A fold whose training rows hold one
-    class is skipped, or predicted as that class, as asked.
+    Every group is a fold. Rows with a gap in their features take no part. A fold whose
+    training rows hold one class is skipped, or predicted as that class, as asked. A fit
+    reads at most about `fit_rows` labelled rows, drawn by hash.
     """
-    groups = [r[0] for r in df.select(group).distinct().limit(max_folds + 1).collect()]
-    if len(groups) < 2:
+    whole = complete_vectors(df).where(F.col(group).isNotNull())
+    kept = whole.withColumn("fold", F.col(group).cast("string"))
+    path = new_path(df.sparkSession, "folds")
+    kept.write.parquet(path)
+    rows = df.sparkSession.read.schema(kept.schema).parquet(path)
+    sizes = {r[0]: r[1] for r in rows.groupBy("fold").count().collect()}  # one fit each
+    if len(sizes) < 2:
         raise ValueError("leave-one-group-out needs at least two groups")
-    if len(groups) <= max_folds:
-        rows = df.withColumn("fold", F.col(group).cast("string"))
-        folds = [str(g) for g in groups]
-    else:
-        bucket = stable_hash("fold", F.col(group).cast("string")) % max_folds
-        rows = df.withColumn("fold", bucket.cast("string"))
-        folds = [str(i) for i in range(max_folds)]
-    rows = packed(rows, df.count()).persist(StorageLevel.MEMORY_AND_DISK)
+    total = sum(sizes.values())
 
     def one(fold: str) -> DataFrame | None:
-        train, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+        held, train = rows.where(F.col("fold") == fold), rows.where(F.col("fold") != fold)
+        share = fit_rows / (total - sizes[fold])
+        if share < 1:
+            drawn = stable_hash("fit", F.col("clip_id")) < F.lit(int(share * HASH_SPACE))
+            train = train.where(drawn)
         weights, n = class_weights(train, label)
         if len(weights) < 2:
             if single_class == "skip" or not weights:
@@ -428,7 +464,7 @@ def leave_group_out(
             only = next(iter(weights))
             return held.select("clip_id", "fold", label, F.lit(only).alias("predicted"))
         prep = fit_preprocessing(train, width)
-        frame = training_frame(train, prep, weights, n, label, balanced)
+        frame = training_frame(train, prep, weights, label, balanced)
         model = _logreg(frame, n)
         frame.unpersist()
         scored = _probability(model)(prep.apply(held))
@@ -436,7 +472,7 @@ def leave_group_out(
         named = F.element_at(F.array(*[F.lit(c) for c in weights]), at)
         return scored.select("clip_id", "fold", label, named.alias("predicted"))
 
-    parts = [p for p in in_parallel([lambda f=f: one(f) for f in sorted(folds)]) if p is not None]
+    parts = [p for p in in_parallel([lambda f=f: one(f) for f in sorted(sizes)]) if p is not None]
     if not parts:
         return rows.limit(0).select("clip_id", "fold", label, F.lit("").alias("predicted"))
     out = parts[0]
@@ -457,7 +493,7 @@ def recoverability(predicted: DataFrame, label: str) -> DataFrame:
 def best_k(points: DataFrame, min_k: int = 2, max_k: int = 10, seed: int = 0) -> DataFrame:
     """Silhouette of k-means per k (squared Euclidean), best first."""
     n = points.count()
-    rows = packed(points.select("clip_id", "x"), n).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = points.select("clip_id", "x").persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = ClusteringEvaluator(featuresCol="x", predictionCol="cluster")
 
     def one(k: int) -> tuple[int, float]:

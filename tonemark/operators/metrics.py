@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemark import fixed_values as fixed
-from tonemark.operators.scale import exact_percentiles
+from tonemark.operators.scale import beside, exact_percentiles
 from tonemark.schema import LABELS
 
 TRUE, PRED, TEXT = "prosody_sentiment", "sentiment", "text_sentiment"
@@ -127,27 +126,20 @@ def latency_percentiles(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def evaluate(
-    rows: DataFrame, groups: Sequence[str] = KEY, *, persist: bool = True
-) -> DataFrame:
+def evaluate(rows: DataFrame, groups: Sequence[str] = KEY) -> DataFrame:
     """One result row per group: every metric plus the confusion matrix.
 
-    Counts and the two latency passes read the same narrow rows, so those are
-    kept (spilling to disk) rather than joined again for each pass.
+    Groups with NULL keys and groups without any latency have their row too.
     """
     rows = rows.select(*groups, TRUE, PRED, TEXT, "confidence", "abstained", "latency_ms")
-    if persist:
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     counted = cells(rows, groups)
     # ECE needs a second level of grouping; it rides on the same cells, and the
     # two branches share their exchange.
     metrics = counted.groupBy(*groups).agg(
         *[c.alias(n) for n, c in {**metric_columns(), **matrix_columns()}.items()]
     )
-    return (
-        metrics.join(calibration_error(counted, groups), list(groups))
-        .join(latency_percentiles(rows, groups), list(groups))
-    )
+    with_error = beside(metrics, calibration_error(counted, groups), groups)
+    return beside(with_error, latency_percentiles(rows, groups), groups)
 
 
 def as_results(evaluated: DataFrame, git_sha: str = "unknown") -> DataFrame:
@@ -230,7 +222,7 @@ def majority_baseline(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     columns = metric_columns()
     names = ("n_clips", "uar", "macro_f1", "accuracy", "psi_contested", "psi_strict")
     return (
-        base.join(top, list(groups))
+        beside(base, top, groups)
         .groupBy(*groups, "p")
         .agg(*[columns[n].alias(n) for n in names])
         .withColumnRenamed("p", "majority_class")

@@ -10,7 +10,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,41 +22,28 @@ EPS = 1e-8
 # A leave-one-out variance below this share of the group's is rounding noise.
 NOISE = 1e-13
 SCHEMES = ("raw", "dataset_z", "speaker_z", "speaker_z_loo")
-# Above this width one aggregate expression per dimension makes the generated
-# code too large; statistics then come from a long table.
-WIDE_LIMIT = 128
-# Up to this width the z-scores are plain column expressions.
-COLUMN_LIMIT = 16
 
 
 def feature_stats(
     df: DataFrame, groups: Sequence[str], width: int, features: str = "features"
 ) -> DataFrame:
-    """Per group: row count and per-dimension mean and population deviation."""
+    """Per group: row count and per-dimension mean and population deviation.
+
+    A NaN makes its dimension missing for its group, at any width; impute before.
+    """
     groups = list(groups)
-    if width <= WIDE_LIMIT:
-        dims = [F.col(features)[i] for i in range(width)]
-        return df.groupBy(*groups).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.array(*[F.avg(d) for d in dims]).alias("_mean"),
-            F.array(*[F.stddev_pop(d) for d in dims]).alias("_std"),
-        )
-    long = df.select(*groups, F.posexplode(features).alias("_i", "_x"))
-    per_dim = long.groupBy(*groups, "_i").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.avg("_x").alias("_m"),
-        F.stddev_pop("_x").alias("_s"),
-    )
-    # One entry per dimension, so the list has a known length.
-    ordered = F.array_sort(F.collect_list(F.struct("_i", "_m", "_s")))
+    figures = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(features))
+    n = F.col("_s.count")
+    # The summary's variance divides by n - 1.
+    share = F.when(n > 1, (n - 1) / n).otherwise(F.lit(0.0))
     return (
-        per_dim.groupBy(*groups)
-        .agg(F.max("_n").alias("_n"), ordered.alias("_e"))
+        df.groupBy(*groups)
+        .agg(figures.alias("_s"))
         .select(
             *groups,
-            "_n",
-            F.transform("_e", lambda e: e["_m"]).alias("_mean"),
-            F.transform("_e", lambda e: e["_s"]).alias("_std"),
+            n.alias("_n"),
+            vector_to_array("_s.mean").alias("_mean"),
+            F.transform(vector_to_array("_s.variance"), lambda v: F.sqrt(v * share)).alias("_std"),
         )
     )
 
@@ -79,18 +68,6 @@ def group_coefficients(stats: DataFrame, loo: bool) -> DataFrame:
     )
 
 
-def z(x: Column, mean: Column, std: Column, a: Column, b: Column, c: Column) -> Column:
-    """Score of one value. Where the other rows do not vary, the group deviation
-    is the scale; a dimension that is constant in the group becomes 0."""
-    gap = x - mean
-    variance = a - b * gap * gap
-    return (
-        F.when(variance >= F.greatest(F.lit(EPS * EPS), a * NOISE), c * gap / F.sqrt(variance))
-        .when(std >= EPS, c * gap / std)
-        .otherwise(F.lit(0.0))
-    )
-
-
 def normalise(
     df: DataFrame,
     scheme: str,
@@ -109,41 +86,31 @@ def normalise(
     if scheme == "raw":
         return df
     if scheme not in SCHEMES:
-        raise ValueError(f"unknown scheme {scheme!r}")
+        raise ValueError(f"{scheme!r} is none of {', '.join(SCHEMES)}")
     keys = list(pool) if scheme == "dataset_z" else [*pool, *groups]
     stats = group_coefficients(
         feature_stats(df, keys, width, features), scheme == "speaker_z_loo"
     )
     names = ["_mean", "_std", "_a", "_b", "_c"]
     if keys:
-        joined = lookup_join(df, stats, keys, count_col="_n", spread_by=spread_by)
+        joined = lookup_join(
+            df, stats, keys, count_col="_n", spread_by=spread_by, row_bytes=100 + 8 * width
+        )
     else:
         s = one_row(stats)
         joined = df.withColumns({c: s.getField(c) for c in names})
-    if width <= COLUMN_LIMIT:
-        values = F.array(
-            *[
-                z(
-                    F.col(features)[i],
-                    *[F.col(c)[i] for c in ("_mean", "_std", "_a")],
-                    F.col("_b"),
-                    F.col("_c"),
-                )
-                for i in range(width)
-            ]
-        )
-    else:
-        values = wide_z(features, *names)
-    return joined.withColumn(features, values).drop("_n", *names)
+    return joined.withColumn(features, vector_z(features, *names)).drop("_n", *names)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def wide_z(
+def vector_z(
     x: pd.Series, mean: pd.Series, std: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series
 ) -> pd.Series:
-    """`z` for wide vectors: one numpy operation per Arrow batch.
+    """Scores of whole vectors, one numpy operation per Arrow batch.
 
-    Array lambdas are interpreted per element, which is many times slower.
+    Where the other rows do not vary, the group deviation is the scale; a dimension
+    that is constant in the group becomes 0 and a NaN is a gap (NULL). Array lambdas are
+    interpreted per element, which is many times slower.
     """
     if len(x) == 0:
         return pd.Series([], dtype=object)
@@ -153,7 +120,8 @@ def wide_z(
     variance = aa - bb * gap * gap
     usable = variance >= np.maximum(EPS * EPS, aa * NOISE)
     scale = np.where(usable, np.sqrt(np.where(usable, variance, 1.0)), np.maximum(s, EPS))
-    return pd.Series(list(np.where(usable | (s >= EPS), cc * gap / scale, 0.0)))
+    known = usable | (s >= EPS) | np.isnan(variance)
+    return pd.Series(list(np.where(known, cc * gap / scale, 0.0)))
 
 
 def z_within(df: DataFrame, value: str, groups: Sequence[str], out: str = "z") -> DataFrame:

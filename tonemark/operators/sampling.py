@@ -97,7 +97,6 @@ def skewed_draws(
     """
     groups = ["speaker_id", label]
     sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n"))
-    largest = sizes.agg(F.max("group_n")).first()[0] or 0
     sized = lookup_join(df, sizes, groups, count_col="group_n", spread_by="clip_id")
     drawn = sized.withColumn("_d", F.explode(draw_list(keep, LABELS, seeds)))
     columns = [*sized.columns, "level", "majority", "seed", "keep"]
@@ -114,10 +113,10 @@ def skewed_draws(
     )
     picked = take_by_hash(
         ranked,
-        ["level", "majority", "seed", *groups],
+        ["level", "majority", "seed", "keep", *groups],
         "_h",
         lambda _: quota,
-        largest=largest,
+        sized=True,
     )
     return drawn.where(certain).select(*columns).unionByName(picked.select(*columns)).drop(
         "group_n", "keep"

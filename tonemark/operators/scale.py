@@ -9,19 +9,16 @@ groups over several tasks, and stay exact.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonemark.functions.hashing import HASH_SPACE
+from tonemark.sources.storage import new_path
 
-# A key with more rows than this is spread over several join tasks. At most
-# total_rows / HOT_ROWS keys can qualify, which bounds the broadcast below.
-HOT_ROWS = 10_000_000
-# Largest group whose values one task may hold for an exact percentile.
-PERCENTILE_ROWS = 1_000_000
+# A key whose rows take more than this is spread over several join tasks.
+HOT_BYTES = 1 << 30
 # Rows ranked by one task.
 RANK_ROWS = 500_000
 
@@ -31,6 +28,17 @@ def one_row(stats: DataFrame) -> Column:
     return stats.select(F.struct(*stats.columns).alias("s")).scalar()
 
 
+def beside(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join on keys where NULL equals NULL; the keys are the left table's."""
+    keys = list(keys)
+    renamed = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    on = reduce(lambda a, b: a & b, same) if same else F.lit(True)
+    return left.join(renamed, on, how).drop(*[f"_of_{k}" for k in keys])
+
+
 def lookup_join(
     rows: DataFrame,
     stats: DataFrame,
@@ -39,25 +47,28 @@ def lookup_join(
     count_col: str,
     spread_by: str,
     how: str = "inner",
+    row_bytes: int = 100,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Join per-key figures (one row per key, with its row count) back to rows.
 
-    Keys above `hot_rows` are replicated once per salt and their rows are
-    scattered over the salts by `spread_by`, so no join task holds a hot key.
+    A NULL key is a key like others. Keys of more than `hot_rows` rows (HOT_BYTES of
+    rows of `row_bytes`) are replicated once per salt and their rows are scattered
+    over the salts by `spread_by`, so no join task holds a hot key. At most
+    total rows / hot_rows keys can qualify, which bounds the broadcast.
     """
-    hot_rows = hot_rows or HOT_ROWS
+    hot_rows = hot_rows or max(1, HOT_BYTES // row_bytes)
     keys = list(keys)
     salts = F.ceil(F.col(count_col) / F.lit(hot_rows)).cast("int")
     hot = stats.where(F.col(count_col) > hot_rows).select(*keys, salts.alias("_salts"))
-    salted_rows = rows.join(F.broadcast(hot), keys, "left").withColumn(
+    salted_rows = beside(rows, F.broadcast(hot), keys).withColumn(
         "_salt",
         F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")), F.lit(0)).cast("int"),
     )
     salted_stats = stats.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts - 1, F.lit(0))))
     )
-    return salted_rows.drop("_salts").join(salted_stats, [*keys, "_salt"], how).drop("_salt")
+    return beside(salted_rows.drop("_salts"), salted_stats, [*keys, "_salt"], how).drop("_salt")
 
 
 def hash_bucket(hash_col: str, n: Column, rank_rows: int) -> Column:
@@ -75,40 +86,23 @@ def take_by_hash(
     *,
     tie: str = "clip_id",
     rank_rows: int | None = None,
-    largest: int | None = None,
+    sized: bool = False,
 ) -> DataFrame:
     """Per group, keep the rows with the smallest hashes.
 
-    `quota` maps the group's size to the number of rows kept. The size of the
-    largest group is checked first (or passed in, with `group_n` already on the
-    rows). If one task can rank it, a window does. Otherwise every group is cut
-    into slices of the hash space: slices below the cut-off are kept without
+    `quota` maps the group's size to the number of rows kept; sizes are counted
+    unless the rows carry them already (`sized`, column `group_n`). Every group is
+    cut into slices of the hash space: slices below the cut-off are kept without
     ranking and only the cut-off slice is ranked, so the work per task does not
     grow with the group. Adds `group_n` and `quota_n`.
     """
     rank_rows = rank_rows or RANK_ROWS
     groups = list(groups)
-    if largest is None:
+    if not sized:
         sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n"))
-        largest = sizes.agg(F.max("group_n")).first()[0] or 0
-        sized = None
-    else:
-        sized = rows
+        rows = lookup_join(rows, sizes, groups, count_col="group_n", spread_by=hash_col)
     wanted = F.least(quota(F.col("group_n")), F.col("group_n")).cast("bigint")
-    if largest <= rank_rows:
-        whole = Window.partitionBy(*groups)
-        counted = (
-            rows.withColumn("group_n", F.count(F.lit(1)).over(whole)) if sized is None else sized
-        )
-        return (
-            counted.withColumn("quota_n", wanted)
-            .withColumn("_rank", F.row_number().over(whole.orderBy(hash_col, tie)))
-            .where(F.col("_rank") <= F.col("quota_n"))
-            .drop("_rank")
-        )
-    if sized is None:
-        sized = lookup_join(rows, sizes, groups, count_col="group_n", spread_by=hash_col)
-    sliced = sized.withColumn("_slice", hash_bucket(hash_col, F.col("group_n"), rank_rows))
+    sliced = rows.withColumn("_slice", hash_bucket(hash_col, F.col("group_n"), rank_rows))
     filled = (
         sliced.groupBy(*groups, "_slice")
         .agg(F.count(F.lit(1)).alias("_in_slice"), F.max("group_n").alias("group_n"))
@@ -120,9 +114,8 @@ def take_by_hash(
                 )
             ),
         )
-        .withColumn("quota_n", wanted)
     )
-    cut = filled.where(F.col("_upto") >= F.col("quota_n")).groupBy(*groups).agg(
+    cut = filled.withColumn("quota_n", wanted).where(F.col("_upto") >= F.col("quota_n")).groupBy(*groups).agg(
         F.min("_slice").alias("_cut"),
         F.min_by(F.col("quota_n") - F.col("_upto") + F.col("_in_slice"), "_slice").alias("_need"),
         F.max("quota_n").alias("quota_n"),
@@ -139,130 +132,103 @@ def take_by_hash(
     )
 
 
-def hash_cut(
-    rows: DataFrame, hash_col: str, tie: str, k: Column, *, rank_rows: int | None = None
-) -> Column:
-    """The k-th smallest (hash, tie) of the table as a struct column.
+def hash_cuts(
+    rows: DataFrame,
+    hash_col: str,
+    tie: str,
+    ranks: Sequence[Column],
+    *,
+    rank_rows: int | None = None,
+) -> list[Column]:
+    """For each rank k, the k-th smallest (hash, tie) of the table as a struct column.
 
-    Only the slice of the hash space that holds rank k is sorted; rows are then
-    compared with the result instead of being ranked.
+    Only the slices of the hash space that hold a rank are sorted; rows are then
+    compared with the results instead of being ranked.
     """
     rank_rows = rank_rows or RANK_ROWS
     total = one_row(rows.agg(F.count(F.lit(1)).alias("n"))).getField("n")
     sliced = rows.select(hash_col, tie, hash_bucket(hash_col, total, rank_rows).alias("_slice"))
     tally = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_c"))
-    running = tally.withColumn("_one", F.lit(0)).withColumn(
+    # One row per slice.
+    running = tally.withColumn(
         "_upto",
-        F.sum("_c").over(
-            Window.partitionBy("_one").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-        ),
+        F.sum("_c").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)),
     )
-    spot = (
-        running.withColumn("_k", k)
-        .where(F.col("_upto") >= F.col("_k"))
-        .agg(
-            F.min("_slice").alias("slice"),
-            F.min_by(F.col("_k") - F.col("_upto") + F.col("_c"), "_slice").alias("need"),
-        )
+    wanted = [f"_k{i}" for i in range(len(ranks))]
+    spot = running.withColumns(dict(zip(wanted, ranks, strict=True))).agg(
+        *[F.min(F.when(F.col("_upto") >= F.col(k), F.col("_slice"))).alias(f"s{k}") for k in wanted],
+        *[
+            F.min_by(F.col(k) - F.col("_upto") + F.col("_c"), F.when(F.col("_upto") >= F.col(k), F.col("_slice"))).alias(f"n{k}")
+            for k in wanted
+        ],
     )
     at = one_row(spot)
-    inside = sliced.where(F.col("_slice") == at.getField("slice"))
+    inside = sliced.where(F.col("_slice").isin(*[at.getField(f"s{k}") for k in wanted]))
     ranked = inside.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_slice").orderBy(hash_col, tie))
     )
-    found = ranked.where(F.col("_rank") == at.getField("need")).agg(
-        F.min(F.struct(hash_col, tie)).alias("cut")
+    hits = [
+        (F.col("_slice") == at.getField(f"s{k}")) & (F.col("_rank") == at.getField(f"n{k}"))
+        for k in wanted
+    ]
+    found = ranked.agg(
+        *[F.min(F.when(hit, F.struct(hash_col, tie))).alias(k) for hit, k in zip(hits, wanted, strict=True)]
     )
-    return one_row(found).getField("cut")
+    cuts = one_row(found)
+    return [cuts.getField(k) for k in wanted]
 
 
-def global_hash_order(
-    rows: DataFrame, hash_col: str, *, tie: str, rank_rows: int | None = None
-) -> DataFrame:
+def global_hash_order(rows: DataFrame, hash_col: str, *, tie: str) -> DataFrame:
     """Position (1-based) of every row in hash order over the whole table.
 
-    Rows are ranked slice by slice and shifted by the rows of earlier slices,
-    so nothing is sorted in a single task. Adds `position` and `total`.
+    Adds `position` and `total`.
     """
-    rank_rows = rank_rows or RANK_ROWS
     total = one_row(rows.agg(F.count(F.lit(1)).alias("n"))).getField("n")
-    sliced = rows.withColumn("total", total).withColumn(
-        "_slice", hash_bucket(hash_col, F.col("total"), rank_rows)
-    )
-    return _shifted_positions(sliced, [hash_col, tie])
+    return global_order(rows.withColumn("total", total), [F.col(hash_col), F.col(tie)])
 
 
-def global_desc_order(
-    rows: DataFrame, value: str, *, tie: str, slices: int = 1000
-) -> DataFrame:
-    """Position of every row in descending order of `value`, ties by `tie`.
+def global_desc_order(rows: DataFrame, value: str, *, tie: str) -> DataFrame:
+    """Position of every row in descending order of `value`, ties by `tie`, NULL last."""
+    return global_order(rows, [F.desc_nulls_last(value), F.col(tie)])
 
-    Slices are cut at approximate quantiles of the value. Rows equal to one cut
-    value are one run of ties; such runs get slices of their own, keyed by the
-    tie column's own quantiles, so a heavy tie does not pile up in one task.
-    """
-    steps = [i / slices for i in range(1, slices)]
-    # At most `slices` numbers, as a range-partitioned sort also samples.
-    found = sorted(set(rows.approxQuantile(value, steps, 0.1 / slices)))
-
-    @F.pandas_udf("bigint")
-    def base(values: pd.Series) -> pd.Series:
-        # Twice the number of cuts above the value, plus one on a cut.
-        cuts = np.array(found, dtype=np.float64)
-        upto = np.searchsorted(cuts, values, side="right")
-        return pd.Series(2 * (len(cuts) - upto) + np.isin(values, cuts))
-
-    sliced = rows.withColumn("_base", base(value))
-    on_cut = F.col("_base") % 2 == 1
-    tied = sliced.where(on_cut).groupBy("_base").agg(F.count(F.lit(1)).alias("_n"))
-    # A heavy run of ties is split at about one tie-column value in RANK_ROWS,
-    # chosen by hash, so each list of bounds has about n / RANK_ROWS entries.
-    heavy = tied.where(F.col("_n") > RANK_ROWS).select("_base")
-    bounds = (
-        sliced.join(heavy, "_base", "left_semi")
-        .where(F.pmod(F.xxhash64(tie), F.lit(RANK_ROWS)) == 0)
-        .groupBy("_base")
-        .agg(F.array_sort(F.collect_list(tie)).alias("_bounds"), F.count(F.lit(1)).alias("_k"))
-    )
-    placed = sliced.join(bounds, "_base", "left").withColumn(
-        "_slice",
-        F.struct(
-            F.col("_base"),
-            F.when(F.col("_bounds").isNull(), 0).otherwise(
-                F.size(F.filter(F.col("_bounds"), lambda b: b <= F.col(tie)))
-            ).alias("_sub"),
-        ),
-    )
-    ordered = _shifted_positions(
-        placed.drop("_base", "_bounds", "_k"), [F.col(value).desc(), F.col(tie)]
-    )
-    return ordered
 
+def global_order(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Adds `position` (1-based): rows are dealt by range, sorted there and written once.
 
-def _shifted_positions(sliced: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    # The running sum sees one row per slice, not the rows themselves.
+    The order ends in a tie column, so a heavy tie is cut like any other range. An id
+    given after the sort holds the partition and the place in it; places are shifted by
+    the rows of earlier partitions, a running sum over one row per partition.
+    """
+    spark = rows.sparkSession
+    path = new_path(spark, "ordered")
+    placed = (
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id())
+    )
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    part = F.shiftright("_at", 33)
     offsets = (
-        sliced.groupBy("_slice")
-        .agg(F.count(F.lit(1)).alias("_in_slice"))
-        .withColumn("_one", F.lit(0))
+        stored.groupBy(part.alias("_part"))
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(
             "_before",
             F.coalesce(
-                F.sum("_in_slice").over(
-                    Window.partitionBy("_one")
-                    .orderBy("_slice")
-                    .rowsBetween(Window.unboundedPreceding, -1)
+                F.sum("_n").over(
+                    Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
                 ),
                 F.lit(0),
             ),
         )
-        .select("_slice", "_before")
+        .drop("_n")
     )
-    within = Window.partitionBy("_slice").orderBy(*order)
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        sliced.join(offsets, "_slice")
-        .withColumn("position", F.row_number().over(within) + F.col("_before"))
-        .drop("_slice", "_before")
+        stored.withColumn("_part", part)
+        .join(offsets, "_part")
+        .withColumn("position", (place + F.col("_before") + 1).cast("bigint"))
+        .drop("_part", "_at", "_before")
     )
 
 
@@ -271,28 +237,19 @@ def exact_percentiles(
     groups: Sequence[str],
     value: str,
     levels: dict[str, float],
-    *,
-    largest: int | None = None,
 ) -> DataFrame:
     """Exact interpolated percentiles per group, one column per level.
 
-    `percentile` keeps every distinct value of a group in one task, so it serves
-    only when the largest group (checked, or passed in) is small. Otherwise a
-    mergeable sketch brackets each wanted rank first; rows below a bracket are
-    only counted, and only the values inside it are ordered. The sketch is off
-    by at most 1/accuracy of the group, so a bracket a few times wider holds the
-    rank once the group has `small` rows; smaller groups are ordered whole.
+    A mergeable sketch brackets each wanted rank first; values below a bracket are
+    only counted, and only the values inside it are ordered. The sketch is off by at
+    most 1/accuracy of the group, so a bracket a few times wider holds the rank once
+    the group has `small` rows; smaller groups are ordered whole. Rows are counted
+    per group and value before anything is joined, so a heavy value is one row.
     """
     accuracy, slack, small = 100_000, 4e-5, 200_000
     groups = list(groups)
     present = rows.where(F.col(value).isNotNull()).select(*groups, value)
-    if largest is None:
-        sizes = present.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-        largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= PERCENTILE_ROWS:
-        wanted = F.array(*[F.lit(float(q)) for q in levels.values()])
-        found = present.groupBy(*groups).agg(F.percentile(value, wanted).alias("_p"))
-        return found.select(*groups, *[F.col("_p")[i].alias(n) for i, n in enumerate(levels)])
+    counted = present.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_rows"))
     probes = []
     for q in levels.values():
         probes += [max(q - slack, 0.0), min(q + slack, 1.0)]
@@ -303,11 +260,11 @@ def exact_percentiles(
         F.max(value).alias("_max"),
     )
     if groups:
-        joined = lookup_join(present, brackets, groups, count_col="_n", spread_by=value)
+        joined = lookup_join(counted, brackets, groups, count_col="_n", spread_by=value)
     else:
         s = one_row(brackets)
-        joined = present.select(
-            value, *[s.getField(c).alias(c) for c in ("_n", "_b", "_min", "_max")]
+        joined = counted.select(
+            value, "_rows", *[s.getField(c).alias(c) for c in ("_n", "_b", "_min", "_max")]
         )
     # A value outside every bracket is folded onto the nearest bracket end below
     # it, which keeps all running counts inside the brackets right.
@@ -320,9 +277,9 @@ def exact_percentiles(
         floor_ends.append(F.when(hi < v, hi))
     below = F.greatest(*floor_ends) if len(floor_ends) > 1 else floor_ends[0]
     tallies = (
-        joined.select(*groups, "_n", F.when(inside, v).otherwise(below).alias("_v"))
+        joined.select(*groups, "_n", "_rows", F.when(inside, v).otherwise(below).alias("_v"))
         .groupBy(*groups, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+        .agg(F.sum("_rows").alias("_c"), F.max("_n").alias("_n"))
     )
     running = F.sum("_c").over(
         Window.partitionBy(*groups)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonemark import fixed_values as fixed
 from tonemark.functions.labels import literal_map
-from tonemark.operators.scale import exact_percentiles
+from tonemark.operators.scale import beside, exact_percentiles
 
 
 def group_sizes(df: DataFrame, sets: Sequence[str], group: str = "speaker_id") -> DataFrame:
@@ -22,7 +22,7 @@ def group_sizes(df: DataFrame, sets: Sequence[str], group: str = "speaker_id") -
     )
     wide = sizes.withColumn("n", F.col("n").cast("double"))
     medians = exact_percentiles(wide, sets, "n", {"median_group_size": 0.5})
-    return base.join(medians, list(sets))
+    return beside(base, medians, sets)
 
 
 def undersized_groups(df: DataFrame, sets: Sequence[str], group: str = "speaker_id") -> DataFrame:

@@ -1,6 +1,7 @@
 """All registered queries; importing a section registers its entries."""
 
 from tonemark.plans import (  # noqa: F401
+    check_queries,
     group_queries,
     label_queries,
     metric_queries,

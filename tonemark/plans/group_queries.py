@@ -202,7 +202,7 @@ def _(v):
     return tidy(summaries.test_retest(paired_takes(a, b, keys, values), values, ["split"]))
 
 
-SEEDS = 5
+SEEDS = 20
 
 
 def draws_sql():

@@ -807,7 +807,7 @@ def _(v):
       (VALUES {",".join(f"('{e}')" for e in fixed.PROBE_EMOTIONS)}) e(emotion),
       (VALUES ('neutral'),('congruent')) t(tc), (VALUES ('short'),('long')) n(len),
       (VALUES ('default'),('adjusted')) s(sc))
-    SELECT speaker_id, 'd1_'||emotion||'_'||tc||'_'||len||'_'||sc AS clip_id, emotion,
+    SELECT speaker_id, 'd1_'||emotion||'_'||tc||'_'||len||'_'||sc||'_'||speaker_id AS clip_id, emotion,
       tc AS text_condition, len AS length, sc AS speed_condition,
       {_probe_text_sql("emotion", "tc", "len")} AS text,
       CASE WHEN sc='adjusted' THEN CASE WHEN emotion IN ('happy','angry') THEN 1.15
@@ -823,7 +823,7 @@ def _(v):
     "described_grid",
     with_(CLIPS)
     + f"""SELECT speaker_id, 'hume_'||emotion||'_'||tc||'_'||len||'_'
-        ||CASE WHEN d THEN 'desc' ELSE 'nodesc' END AS clip_id, emotion,
+        ||CASE WHEN d THEN 'desc' ELSE 'nodesc' END||'_'||speaker_id AS clip_id, emotion,
       tc AS text_condition, len AS length, d AS has_description,
       {_probe_text_sql("emotion", "tc", "len")} AS text,
       CASE WHEN tc='neutral' THEN 'neutral_'||len ELSE 'congruent_'||emotion||'_'||len END

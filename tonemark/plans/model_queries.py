@@ -14,6 +14,7 @@ from tonemark.schema import LABELS
 
 WIDTH = 64
 NAMES = [f"f{i}" for i in range(WIDTH)]
+CANDIDATES = ["logreg", "linear_svm", "svm_rbf", "hist_gbdt"]
 SCORES = ["n_clips", "uar", "macro_f1", "psi_contested", "psi_strict"]
 
 
@@ -71,7 +72,7 @@ def _(v):
 @query("train_select_prosodic")
 def _(v):
     train, val, _ = sets(v)
-    models = learn.fit(train, WIDTH, ["logreg", "linear_svm", "svm_rbf", "hist_gbdt"])
+    models = learn.fit(train, WIDTH, CANDIDATES)
     scores = learn.candidate_scores(models, val).withColumn("experiment", F.lit("prosodic"))
     best = ranking.select_best(scores, ["experiment"], "model", "uar", "candidate_order")
     joined = scores.join(best.select("experiment", "selected"), "experiment")
@@ -163,19 +164,39 @@ def _(v):
 @query("normalisation_experiment")
 def _(v):
     train, val, test = sets(v)
-    result = experiments.normalisation(train, {"val": val, "test": test}, WIDTH, ["logreg"])
+    result = experiments.normalisation(train, {"val": val, "test": test}, WIDTH, CANDIDATES)
     return tidy(result)
 
 
 @query("skew_experiment")
 def _(v):
     train, val, test = sets(v)
-    return tidy(experiments.skew(train, test, WIDTH, ["logreg"], seeds=3))
+    return tidy(experiments.skew(train, test, WIDTH, ["logreg", "linear_svm", "hist_gbdt"]))
 
 
 @query("combo_experiment")
 def _(v):
-    return tidy(experiments.combos(*corpora(v), width=WIDTH))
+    base, first, second, outside = corpora(v)
+    voice = F.col("vec_id") % 2 == 0
+    train = "split = 'train'"
+    train_sets = {
+        "base": base.where(train),
+        "second": second.where(train),
+        "first": first.where(voice),
+        "first_second": first.where(voice).unionByName(second.where(train)),
+        "all": base.where(train).unionByName(first.where(voice)).unionByName(second.where(train)),
+    }
+    eval_sets = {
+        "base_test": base.where("split = 'test'"),
+        "second_val": second.where("split = 'val'"),
+        "second_test": second.where("split = 'test'"),
+        "first_held_out": first.where(~voice),
+        "first_train": first.where(voice),
+        "outside": outside,
+    }
+    return tidy(
+        experiments.training_matrix(train_sets, eval_sets, width=WIDTH, exclude=["outside"])
+    )
 
 
 @query("zero_shot_vs_retrained")
@@ -187,12 +208,12 @@ def _(v):
 
 
 def corpora(v):
-    """Three corpora of the feature view: by voice group of the speaker."""
+    """Four corpora of the feature view: by voice group of the speaker."""
     group = F.col("vec_id") % 20
-    base = v.features.where(group < 12)
-    first = v.features.where((group >= 12) & (group < 16))
-    second = v.features.where(group >= 16)
-    return base, first, second
+    base = v.features.where(group < 10)
+    first = v.features.where((group >= 10) & (group < 14))
+    second = v.features.where((group >= 14) & (group < 18))
+    return base, first, second, v.features.where(group >= 18)
 
 
 def _length_scores(series):

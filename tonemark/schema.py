@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from tonemark.fixed_values import DESCRIPTORS
+
 # Canonical class order. It fixes the layout of probability vectors and of the
 # confusion matrix, and it breaks ties in every argmax.
 LABELS = ("negative", "neutral", "positive")
@@ -93,18 +95,6 @@ EVAL_RESULT = T.StructType(
     ]
 )
 
-DESCRIPTORS = (
-    "f0_mean",
-    "f0_std",
-    "f0_range",
-    "egemaps_loudness",
-    "egemaps_hnr",
-    "egemaps_jitter",
-    "egemaps_shimmer_db",
-    "rms",
-    "speech_rate_cps",
-)
-
 MEASUREMENT = T.StructType(
     [
         T.StructField(n, T.StringType())

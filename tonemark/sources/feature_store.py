@@ -1,4 +1,4 @@
-"""Incremental feature store: a parquet table keyed by clip_id."""
+"""Incremental feature store: a parquet table keyed by clip_id, partitioned by its hash."""
 
 from __future__ import annotations
 
@@ -7,20 +7,34 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonemark.schema import FEATURES
 
+BUCKETS = 64
+# Committed slices of one extraction run.
+COMMITS = 8
+_STORED = T.StructType([*FEATURES.fields, T.StructField("bucket", T.IntegerType())])
+
+
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("clip_id"), F.lit(BUCKETS)).cast("int")
+
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """The store, empty when nothing was written yet."""
+    return _stored(spark, path).drop("bucket")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(FEATURES).parquet(path)
+        return spark.read.schema(_STORED).parquet(path)
     except AnalysisException as exc:
         if exc.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], FEATURES)
+        return spark.createDataFrame([], _STORED)
 
 
 def uncached(manifest: DataFrame, store: DataFrame) -> DataFrame:
@@ -60,12 +74,22 @@ def append(
 ) -> DataFrame:
     """Extract only clips the store does not hold yet, append them, return the store.
 
-    The write commits as a whole, so an interrupted run leaves the store as it
-    was and the next run resumes from what is there.
+    Clips are extracted and committed in COMMITS slices of the hash buckets, so a run
+    that is cut off loses one slice and the next run resumes from what is there. Only
+    the buckets of the given clips are read from the store.
     """
     spark = clips.sparkSession
-    todo = uncached(clips.dropDuplicates(["clip_id"]), scan(spark, path))
-    extract(todo, embed, width, payload).write.mode("append").parquet(path)
+    wanted = clips.dropDuplicates(["clip_id"]).withColumn("bucket", bucket())
+    present = sorted(r[0] for r in wanted.select("bucket").distinct().collect())  # at most BUCKETS
+    for slice_no in range(COMMITS):
+        own = [b for b in present if b % COMMITS == slice_no]
+        if not own:
+            continue
+        part = wanted.where(F.col("bucket").isin(own))
+        held = _stored(spark, path).where(F.col("bucket").isin(own))
+        fresh = extract(uncached(part, held), embed, width, payload)
+        keyed = fresh.withColumn("bucket", bucket())
+        keyed.write.mode("append").partitionBy("bucket").parquet(path)
     return scan(spark, path)
 
 

@@ -13,9 +13,6 @@ from tonemark.functions.labels import file_stem, literal_map, map_emotion, probe
 from tonemark.schema import LABELS, MANIFEST_COLUMNS, ManifestError
 from tonemark.sources.manifest import add_congruence
 
-# Fixed pattern: speaker, sentence code, emotion, intensity.
-ACTED_FILE = r"^(\d{4})_([A-Z]{3,4})_([A-Z]{3})_([A-Z0-9]{1,2})\.wav$"
-
 PROBE_FILE = T.StructType(
     [
         T.StructField(
@@ -39,7 +36,7 @@ PROBE_FILE = T.StructType(
 def acted_listing(listing: DataFrame) -> DataFrame:
     """Parse file names; `reason` is NULL for rows that are usable."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    parts = [F.regexp_extract(name, ACTED_FILE, i) for i in (1, 2, 3)]
+    parts = [F.regexp_extract(name, fixed.ACTED_FILE, i) for i in (1, 2, 3)]
     parsed = listing.select(
         "path",
         name.alias("_name"),

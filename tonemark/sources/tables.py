@@ -4,17 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Tables of fewer splits than this are at most a gigabyte at the default split size.
-FEW_SPLITS = 8
-
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; a tiny one that would occupy a few tasks is spread over the cores.
-
-    Larger tables already have enough splits and are read as they lie.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < min(FEW_SPLITS, cores):
-        return df.repartition(min(FEW_SPLITS, cores))
-    return df
+    """A parquet table as it lies; file splits set the partitions."""
+    return spark.read.parquet(path)
