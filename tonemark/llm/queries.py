@@ -50,10 +50,7 @@ def op2_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_sentence_spans")
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = sentence_spans.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cleaned.select(
-        "doc_id", "cut.n_sentences", "cut.n_removed", "cut.n_spans", "cut.n_words_removed", "cut.kept_sha256"
-    )
+    return sentence_spans.clean(table(spark, sf_dir, "documents"), with_text=False)
 
 
 @query("op4_url_rules")

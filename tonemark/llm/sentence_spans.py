@@ -8,12 +8,13 @@ any non-first occurrence covers are removed. First is the smallest (doc_id, text
 place).
 
 Counts are combined before the shuffle, and the repeated hashes are joined back to the
-spans, which lets a span of a third of all documents be split over tasks.
+spans, which lets a span of a third of all documents be split over tasks. The text moves
+once: compressed, dealt by document and cached.
 
 Defined results: a null or empty text has no pieces; texts with fewer words than a span
 lose nothing; rows equal in doc_id and text count as one document and lose the same
 pieces; a null doc_id sorts first; an empty table gives no rows; other columns, whatever
-their names, are kept by `clean` and ignored by `removals`.
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +27,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemark.llm.common import staged
+from tonemark.llm.common import KEY, dealt_texts, staged, texts_of
 
 SENTENCES = 3
 WORDS = 20
 LONGEST = 12
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 _WORD = re.compile(r"\s*\S+\s*")
-_SPANS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32()), ("pieces", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
-SPANS = "doc_id long, text_hash long, at int, pieces int, high long, low long"
+_SPANS = pa.schema(
+    [(c, pa.int64()) for c in KEY] + [("at", pa.int32()), ("pieces", pa.int32()), ("high", pa.int64()), ("low", pa.int64())]
+)
+SPANS = "d long, th long, at int, pieces int, high long, low long"
 
 
 def pieces(text: str) -> list[str]:
@@ -69,40 +72,46 @@ def spans(parts: list[str]) -> list[tuple[int, int, bytes]]:
 
 
 def _span_rows(batches):
+    def batch_of(rows):
+        return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SPANS, strict=True)], schema=_SPANS)
+
     for batch in batches:
-        ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
         rows: list[tuple] = []
-        for doc_id, text_hash, text in zip(ids, hashes, batch.column("text"), strict=True):
-            for at, n, key in spans(pieces(text.as_py())):
-                rows.append((doc_id, text_hash, at, n, int.from_bytes(key[:8], "big", signed=True), int.from_bytes(key[8:], "big", signed=True)))
+        keys = (batch.column(c).to_pylist() for c in KEY)
+        for d, th, data in zip(*keys, texts_of(batch), strict=True):
+            for at, n, name in spans(pieces(data.decode())):
+                high, low = (int.from_bytes(x, "big", signed=True) for x in (name[:8], name[8:]))
+                rows.append((d, th, at, n, high, low))
             if len(rows) >= 20_000:
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SPANS, strict=True)], schema=_SPANS)
+                yield batch_of(rows)
                 rows = []
         if rows:
-            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SPANS, strict=True)], schema=_SPANS)
-
+            yield batch_of(rows)
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
-
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and the list of (at, pieces) of repeated spans that go."""
-    found = staged(_keyed(docs).mapInArrow(_span_rows, SPANS), "sentence-spans")
-    place = F.struct("doc_id", "text_hash", "at")
-    repeated = (
+def removals(texts: DataFrame) -> DataFrame:
+    """d, th and the list of (at, pieces) of repeated spans that go, for `dealt_texts`."""
+    found = texts.select(*KEY, "packed").mapInArrow(_span_rows, SPANS)
+    place = F.struct(*KEY, "at")
+    repeated = staged(
         found.groupBy("high", "low")
         .agg(F.min(place).alias("first"), F.count("*").alias("times"))
         .filter("times > 1")
-        .drop("times")
+        .drop("times"),
+        "repeated-spans",
     )
     later = found.join(repeated, ["high", "low"]).filter(place != F.col("first"))
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "pieces")).alias("gone"))
+    return later.groupBy(*KEY).agg(F.collect_set(F.struct("at", "pieces")).alias("gone"))
+
 
+_CUT = (
+    "doc_id long, n_sentences long, n_removed long, n_spans long, n_words_removed long, "
+    "kept_sha256 string, kept_text string"
+)
 
-@F.udf("n_sentences long, n_removed long, n_spans long, n_words_removed long, kept_text string, kept_sha256 string", useArrow=True)
-def _cut(text, gone):
+
+def cut(text: str, gone) -> tuple[int, int, int, int, str, str]:
+    """Pieces, removed pieces, removed runs and words, and the text that stays."""
     parts = pieces(text)
     drop = [False] * len(parts)
     for span in gone or ():
@@ -111,16 +120,31 @@ def _cut(text, gone):
     kept = "".join(p for p, d in zip(parts, drop, strict=True) if not d)
     runs = sum(d and not b for d, b in zip(drop, [False, *drop], strict=False))
     words = sum(len(p.split()) for p, d in zip(parts, drop, strict=True) if d)
-    return len(parts), sum(drop), runs, words, kept, hashlib.sha256(kept.encode("utf-8", "replace")).hexdigest()
-
-
-def clean(docs: DataFrame) -> DataFrame:
-    """All columns of documents, and `cut`: counts, the text that stays and its SHA-256."""
-    gone = removals(docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone")
-    keyed = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    joined = keyed.join(
-        gone.withColumnRenamed("gone", "_gone"),
-        keyed["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(keyed["_text"]) == gone["_hash"]),
-        "left",
-    )
-    return joined.withColumn("cut", _cut("_text", "_gone")).drop("_id", "_hash", "_gone", "_text")
+    return len(parts), sum(drop), runs, words, hashlib.sha256(kept.encode()).hexdigest(), kept
+
+
+def clean(docs: DataFrame, with_text: bool = True) -> DataFrame:
+    """One row per document: counts, and the SHA-256 and the text of what stays."""
+    texts = dealt_texts(docs)
+    gone = removals(texts)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = [cut(data.decode(), g.as_py()) for data, g in zip(texts_of(part), part.column("gone"), strict=True)]
+                columns = list(zip(*out, strict=True))
+                yield pa.record_batch(
+                    [
+                        part.column("doc_id"),
+                        *(pa.array(c, pa.int64()) for c in columns[:4]),
+                        pa.array(columns[4], pa.string()),
+                        pa.array(columns[5] if with_text else [None] * len(out), pa.string()),
+                    ],
+                    ["doc_id", "n_sentences", "n_removed", "n_spans", "n_words_removed", "kept_sha256", "kept_text"],
+                )
+
+    out = texts.join(gone, KEY, "left").select("doc_id", "packed", "gone").mapInArrow(run, _CUT)
+    done = staged(out if with_text else out.drop("kept_text"), "cleaned-texts")
+    texts.unpersist()
+    return done
