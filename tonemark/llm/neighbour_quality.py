@@ -41,7 +41,7 @@ _SYMBOL[97:123] = 97
 _SYMBOL[65:91] = 65
 _SYMBOL[48:58] = 48
 _SYMBOL[128:] = 97
-_FEATURES = "doc_id long, quality int, places array<int>, counts array<float>"
+_FEATURES = "doc_id long, quality int, places binary, counts binary"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -83,10 +83,11 @@ def features(texts: list[str]) -> np.ndarray:
 
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.log1p(counts)
+    x = np.log1p(counts)  # float32 throughout
     x[:, :TERMS] /= np.maximum(np.linalg.norm(x[:, :TERMS], axis=1, keepdims=True), 1e-9)
-    x = x * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return x
 
 
 def _slices(batches, size: int = 256):
@@ -131,8 +132,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np
                 [
                     part.column("doc_id"),
                     part.column("quality"),
-                    pa.array([p.astype(np.int32) for p in places], pa.list_(pa.int32())),
-                    pa.array([x[p] for x, p in zip(found, places, strict=True)], pa.list_(pa.float32())),
+                    pa.array([p.astype(np.int32).tobytes() for p in places], pa.binary()),
+                    pa.array([x[p].tobytes() for x, p in zip(found, places, strict=True)], pa.binary()),
                 ],
                 ["doc_id", "quality", "places", "counts"],
             )
@@ -141,10 +142,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np
     held = texts.select("doc_id", "text", "quality").mapInArrow(sparse, _FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     counts = np.zeros((len(held), TERMS + SHARES), np.float32)
     for row, one in enumerate(held):
-        counts[row, one["places"]] = one["counts"]
+        counts[row, np.frombuffer(one["places"], np.int32)] = np.frombuffer(one["counts"], np.float32)
     return counts, np.array([one["quality"] for one in held], np.float32)
 
 
+def directions(x: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular vectors of the sample, by a seeded randomised SVD."""
+    if not len(x):
+        return np.zeros((x.shape[1], 0), np.float32)
+    wide = min(rank + 16, *x.shape)
+    basis = np.random.default_rng(5).normal(size=(x.shape[1], wide)).astype(np.float32)
+    for _ in range(3):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    _, values, rotation = np.linalg.svd(x @ basis, full_matrices=False)
+    kept = values[:rank] > 1e-3
+    return (basis @ rotation[:rank][kept].T).astype(np.float32)
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     return scored(docs.select("doc_id", "text"), docs, labels, sample).select(
@@ -162,10 +176,7 @@ def scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample: int = SA
     counts, quality = labelled_sample(docs, labels, sample)
     share = float((quality > 0).mean()) if len(quality) else 0.5
     x = _weighted(counts, idf)
-    # Singular directions through the smaller Gram matrix of the sample.
-    values, left = np.linalg.eigh(x @ x.T) if len(x) else (np.zeros(0), np.zeros((0, 0)))
-    order = [k for k in np.argsort(-values)[:RANK] if values[k] > 1e-6]
-    basis = (x.T @ left[:, order] / np.sqrt(values[order])).astype(np.float32)
+    basis = directions(x, RANK)
     known = x @ basis
     known /= np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-9)
     good = (quality > 0).astype(np.float32)
