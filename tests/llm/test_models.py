@@ -251,6 +251,46 @@ def test_paraphrases(spark, small):
     assert got == [(k, k) for k in range(8)]
 
 
+def test_large_benchmarks_lose_no_holders(spark):
+    """2200 items of running text: every verbatim holder is found, and every changed one that the word check takes."""
+    rng = np.random.default_rng(5)
+    source = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    source = [w for w in source if len(w) >= 70]
+
+    def run(n):
+        own = source[rng.integers(len(source))]
+        at = rng.integers(len(own) - n + 1)
+        return own[at : at + n]
+
+    items = [run(int(n)) for n in rng.integers(15, 61, 2200)]
+    split, docs, want = latent_retrieval.words.Words(), [], set()
+    for k in range(0, 2200, 55):
+        changed = list(items[k])
+        for i in rng.choice(len(changed), len(changed) // 5, replace=False):
+            changed[i] = run(1)[0]
+        for doc, held in ((k, items[k]), (10_000 + k, changed)):
+            text = " ".join([*run(50), *held, *run(50)])
+            docs.append((doc, text))
+            own, around = split([" ".join(items[k])])[0], split([text])[0]
+            if latent_retrieval.checked(own, frozenset(own.tolist()), around) or doc == k:
+                want.add((doc, k))
+    table = spark.createDataFrame(docs, "doc_id long, text string").unionByName(
+        spark.createDataFrame([(100_000 + k, " ".join(w)) for k, w in enumerate(source)], "doc_id long, text string")
+    )
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in latent_retrieval.find(table, benchmark).collect()}
+    assert want <= got, (len(want), len(want - got))
+
+
+def test_items_of_common_words_among_rare_ones(spark):
+    """What surrounds a passage does not hide it."""
+    item = "which of these is the one that was not in it"
+    docs = [(k, f"{item} {k}") for k in range(300)] + [(1000, " ".join([*(f"rare{k}" for k in range(40)), item, *(f"odd{k}" for k in range(40))]))]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id for r in latent_retrieval.find(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert got == {d for d, _ in docs}
+
+
 def test_retrieval_of_odd_rows(spark, odd, none):
     benchmark = spark.createDataFrame([(1, "seven grey wolves watch from a distant hill while the fox jumps", "x")], "item_id long, text string, doc_id string")
     assert latent_retrieval.find(none, benchmark).collect() == []

@@ -2,19 +2,24 @@
 
 1. Benchmark items are cut into passages of at most `PASSAGE` words. How many documents
    hold each of their words is counted over the whole corpus; that gives the weights.
-2. A randomised SVD of the passages' TF-IDF matrix gives every word a vector: hashed
-   Gaussian projections of the rows, one power iteration, an orthonormal basis and the
-   rotation to singular directions. Rows and words stay distributed; the driver only sees
-   matrices of rank x rank.
+2. Passages are dealt into blocks of about `BLOCK`. A randomised SVD of each block's TF-IDF
+   matrix, made in one task, gives its words vectors: hashed Gaussian projections of the
+   rows, one power iteration, an orthonormal basis and the rotation to singular directions.
+   A block keeps as many directions as it has passages, so each passage keeps its whole
+   length however many items there are.
 3. Every window of the corpus, two blocks of `STEP` words that start at every block, is
-   projected by the same vectors and compared with all passages in blocks of cosines. A
-   window's length counts all its words, so a single shared rare word is no match.
-4. Windows at `COSINE` or more are checked on words: the longest common subsequence of the
-   passage and the text around the window must cover `COMMON` of the passage, or `LOOSE`
-   of it if also the answer, its last quarter, is covered to `ANSWER`.
+   projected by the same vectors and compared with all passages. It is a candidate if it
+   holds `SHARE` of the passage's squared length, whatever else it holds, or has a cosine of
+   `COSINE`, its own length counting all its words. A passage touches at most five blocks of
+   words, so three windows cover it: one of them holds a third of it if it is there word for
+   word. Sums of each word's largest part in any passage bound both figures from above;
+   windows below the bounds are not projected.
+4. Candidates are checked on words: the longest common subsequence of the passage and the
+   text around the window must cover `COMMON` of the passage, or `LOOSE` of it if also the
+   answer, its last quarter, is covered to `ANSWER`.
 
 The vectors of the benchmark's words are sent to every task. Their number is bounded by
-`MOST_WORDS`: a larger benchmark is worked off in blocks of passages, one pass each.
+`MOST_WORDS`: the blocks of a larger benchmark are worked off in several passes.
 
 Defined results: null and empty texts hold nothing; items of fewer than `SHORTEST` words
 cannot be told from chance and are in no result; equal items are found under each id; rows
@@ -35,8 +40,9 @@ from tonemark.llm.common import staged
 PASSAGE = 64
 SHORTEST = 8
 STEP = 16
-RANK = 128
+BLOCK = 128
 COSINE = 0.25
+SHARE = 0.2
 COMMON = 0.8
 LOOSE = 0.6
 ANSWER = 0.8
@@ -142,47 +148,41 @@ def _gaussian(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
 
 
-def word_vectors(rows: DataFrame, vocabulary: Vocabulary, idf: np.ndarray, rank: int) -> np.ndarray:
+def word_vectors(rows: list[np.ndarray], vocabulary: Vocabulary, idf: np.ndarray) -> np.ndarray:
     """Right singular vectors of the rows' TF-IDF matrix, one vector per word.
 
-    Each step is a sum over rows, made per task and combined by word; `rank` counts the
-    directions kept, a few more are carried along.
+    There are as many directions as rows; a few more are carried along.
     """
-    wide = min(rank + 8, len(vocabulary))
-
-    def by_word(project):
-        """Rows of A^T (A @ basis), `project` giving basis rows for word places."""
-
-        def summed(batches):
-            total = np.zeros((len(vocabulary), wide))
-            for batch in batches:
-                for row in batch.column("words").to_pylist():
-                    at, tf = np.unique(vocabulary(np.array(row, np.int64).view(np.uint64)), return_counts=True)
-                    x = tf * idf[at]
-                    x = x / np.linalg.norm(x)
-                    total[at] += x[:, None] * (x @ project(at))[None, :]
-            has = np.flatnonzero(total.any(axis=1))
-            for at in np.array_split(has, max(1, -(-len(has) // 4096))):
-                yield pa.record_batch([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], ["at", "sums"])
-
-        def added(group: pa.Table) -> pa.Table:
-            total = np.stack([np.array(x) for x in group.column("sums").to_pylist()]).sum(axis=0)
-            return pa.table({"at": pa.array([group.column("at")[0].as_py()]), "sums": pa.array([total], pa.list_(pa.float64()))})
-
-        schema = "at long, sums array<double>"
-        found = rows.select("words").mapInArrow(summed, schema).groupBy("at").applyInArrow(added, schema)
-        out = np.zeros((len(vocabulary), wide))
-        for row in found.toLocalIterator():  # one vector per benchmark word, at most MOST_WORDS
-            out[row["at"]] = row["sums"]
-        return out
-
-    basis = np.linalg.qr(by_word(lambda at: _gaussian(vocabulary.words[at], wide)))[0]
-    image = by_word(lambda at: basis[at])
-    values, rotation = np.linalg.eigh(basis.T @ image)
-    order = np.argsort(-values)[:rank]
+    wide = min(len(rows) + 8, len(vocabulary))
+    x = np.zeros((len(rows), len(vocabulary)))
+    for k, row in enumerate(rows):
+        at, tf = np.unique(vocabulary(row), return_counts=True)
+        x[k, at] = tf * idf[at]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    basis = np.linalg.qr(x.T @ (x @ _gaussian(vocabulary.words, wide)))[0]
+    values, rotation = np.linalg.eigh((x @ basis).T @ (x @ basis))
+    order = np.argsort(-values)[: len(rows)]
     return (basis @ rotation[:, order]).astype(np.float32)
 
 
+def block_vectors(rows: DataFrame, vocabulary: Vocabulary, idf: np.ndarray) -> DataFrame:
+    """(block, words, vectors): the words of each block in order and the rows of their vectors."""
+
+    def made(group: pa.Table) -> pa.Table:
+        held = [np.array(r, np.int64).view(np.uint64) for r in group.column("words").to_pylist()]
+        own = Vocabulary(np.concatenate(held))
+        vectors = word_vectors(held, own, idf[vocabulary(own.words)])
+        return pa.table(
+            {
+                "block": group.column("block").slice(0, 1),
+                "words": pa.array([own.words.view(np.int64)], pa.list_(pa.int64())),
+                "vectors": pa.array([vectors.tobytes()], pa.binary()),
+            }
+        )
+
+    return rows.groupBy("block").applyInArrow(made, "block long, words array<long>, vectors binary")
+
+
 def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, all of a's places in one integer."""
     places: dict[int, int] = {}
@@ -202,39 +202,74 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item it holds, with the cosine and both shares."""
     spark = docs.sparkSession
     rows = staged(passages(benchmark), "passages")
-    slots = rows.select(F.explode("words").alias("word"))
-    total, distinct = slots.agg(F.count("word"), F.count_distinct("word")).first()
-    blocks = 1 if distinct <= MOST_WORDS else -(-total // (MOST_WORDS // 2))
+    blocks = max(1, -(-rows.count() // BLOCK))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)))
+    slots = rows.select("block", F.explode("words").alias("word"))
+    sizes = slots.groupBy("block").agg(F.count_distinct("word").alias("words")).orderBy("block")
+    passes: list[list[int]] = [[]]
+    left = MOST_WORDS
+    for r in sizes.collect():  # one row per block of passages
+        if r["words"] > left and passes[-1]:
+            passes.append([])
+            left = MOST_WORDS
+        passes[-1].append(r["block"])
+        left -= r["words"]
     found = spark.createDataFrame([], FOUND)
-    for block in range(blocks):
-        own = rows.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == block)
-        found = found.unionByName(_found(docs, own))
+    for own in passes:
+        if own:
+            found = found.unionByName(_found(docs, rows.filter(F.col("block").between(own[0], own[-1]))))
     best = F.max(F.struct("common", "answer", "cosine")).alias("best")
     merged = found.groupBy("doc_id", "text_hash", "item_id").agg(best)
     return merged.select("doc_id", "text_hash", "item_id", "best.cosine", "best.common", "best.answer")
 
 
+class Block:
+    """Passages of one block, the vectors of their words, and bounds on what a word adds."""
+
+    def __init__(self, numbers: list[int], passage: list[np.ndarray], own: np.ndarray, vectors: np.ndarray, vocabulary: Vocabulary, idf: np.ndarray) -> None:
+        self.numbers = np.array(numbers)
+        at = vocabulary(own)
+        # Places of all words among the block's own; other words have the zero row at the end.
+        self.place = np.full(len(vocabulary) + 1, len(own), np.int32)
+        self.place[at] = np.arange(len(own))
+        weighted = vectors.reshape(len(own), -1) * idf[at, None].astype(np.float32)
+        self.vectors = np.vstack([weighted, np.zeros((1, weighted.shape[1]), np.float32)])
+        held = [self.place[vocabulary(p)] for p in passage]
+        self.target = np.stack([weighted[p].sum(axis=0) for p in held])
+        self.lengths = np.zeros(len(held), np.float32)
+        self.share, self.cosine = (np.zeros(len(vocabulary) + 1) for _ in range(2))
+        for k, p in enumerate(held):
+            word, tf = np.unique(p, return_counts=True)
+            there = at[word]
+            self.lengths[k] = length = np.sqrt(np.sum((tf * idf[there]) ** 2))
+            adds = tf * idf[there] ** 2
+            self.share[there] = np.maximum(self.share[there], adds / length**2)
+            self.cosine[there] = np.maximum(self.cosine[there], adds / length)
+
+
 def _found(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    held = rows.collect()  # one block of passages, bounded by MOST_WORDS
+    held = rows.collect()  # passages of one pass, bounded by MOST_WORDS
     passage = [np.array(r["words"], np.int64).view(np.uint64) for r in held]
     items = [r["item_id"] for r in held]
-    if not held:
-        return docs.sparkSession.createDataFrame([], FOUND)
     vocabulary = Vocabulary(np.concatenate(passage))
     counts = {r["word"]: r["df"] for r in document_frequencies(docs, vocabulary).toLocalIterator()}
     n_docs = counts.pop(None, 0)
     df = np.array([counts.get(int(w), 0) for w in vocabulary.words.view(np.int64)])
     idf = np.log((1 + n_docs) / (1 + df)) + 0.1
-    vectors = word_vectors(rows, vocabulary, idf, min(RANK, len(held))) * idf[:, None].astype(np.float32)
-    target = np.stack([vectors[vocabulary(p)].sum(axis=0) for p in passage])
-    target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-12)
+    numbers: dict[int, list[int]] = {}
+    for k, r in enumerate(held):
+        numbers.setdefault(r["block"], []).append(k)
+    blocks = [
+        Block(own := numbers[r["block"]], [passage[k] for k in own], np.array(r["words"], np.int64).view(np.uint64),
+              np.frombuffer(r["vectors"], np.float32), vocabulary, idf)
+        for r in block_vectors(rows, vocabulary, idf).collect()  # at most MOST_WORDS vectors
+    ]
     alike = [frozenset(p.tolist()) for p in passage]
     # Windows at a time, so that their cosines take 64 MB at most.
-    several = max(64, (1 << 24) // max(len(target), vectors.shape[1]))
-
-    # A zero row for words that no passage has; their weight counts in a window's length.
-    vectors = np.vstack([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
+    several = max(64, (1 << 24) // max(max(len(b.target), b.vectors.shape[1]) for b in blocks))
+    # Words that no passage has come last; their weight counts in a window's length.
     squares = np.append(idf, np.log((1 + n_docs) / 2) + 0.1) ** 2
+    share, cosine = (np.max([getattr(b, name) for b in blocks], axis=0) for name in ("share", "cosine"))
 
     def searched(batches):
         split = words.Words()
@@ -246,30 +281,41 @@ def _found(docs: DataFrame, rows: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(n)), n_blocks)
             step = np.arange(len(doc)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
             starts = begins[doc] + step * STEP
-            stops = np.minimum(starts + STEP, ends[doc])
-            at = vocabulary(hashes)
-            lengths = np.concatenate([[0.0], np.cumsum(squares[at])])
-            lengths = lengths[stops] - lengths[starts]
             # A window: a block and, in the same document, the next one.
-            joined = np.append(doc[1:] == doc[:-1], False)[: len(doc)]
+            stops = np.minimum(starts + 2 * STEP, ends[doc])
+            at = vocabulary(hashes)
+
+            def summed(values, windows):
+                total = np.concatenate([[0.0], np.cumsum(values[at])])
+                return total[stops[windows]] - total[starts[windows]]
+
+            lengths = np.sqrt(np.maximum(summed(squares, slice(None)), 1e-12))
+
+            def possible(shares, cosines, windows):
+                """Windows that may hold a candidate, by bounds and room for rounding."""
+                near = summed(shares, windows) >= 0.999 * SHARE
+                near |= summed(cosines, windows) >= 0.999 * COSINE * lengths[windows]
+                return windows[near]
+
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for k in range(0, len(starts), several):
-                end = min(k + several, len(starts))
-                sums = _block_sums(at, starts[k : end + 1], stops[k : end + 1], vectors)
-                window, length = sums[: end - k].copy(), lengths[k:end].copy()
-                follows = np.flatnonzero(joined[k:end])
-                window[follows] += sums[follows + 1]
-                length[follows] += lengths[k + follows + 1]
-                window /= np.sqrt(np.maximum(length, 1e-12))[:, None].astype(np.float32)
-                cosines = window @ target.T
-                for w, p in zip(*np.nonzero(cosines >= COSINE), strict=True):
-                    d, own = int(doc[k + w]), passage[p]
-                    lo = max(begins[d], starts[k + w] - len(own))
-                    hi = min(ends[d], starts[k + w] + 2 * STEP + len(own))
-                    found = checked(own, alike[p], hashes[lo:hi])
-                    if found:
-                        found = (*found, float(cosines[w, p]))
-                        best[d, p] = max(best.get((d, p), found), found)
+            likely = possible(share, cosine, np.arange(len(starts)))
+            for block in blocks if len(likely) else ():
+                own_windows = possible(block.share, block.cosine, likely) if len(blocks) > 1 else likely
+                for k in range(0, len(own_windows), several):
+                    windows = own_windows[k : k + several]
+                    sums = _window_sums(block.place[at], starts[windows], stops[windows], block.vectors)
+                    products = sums @ block.target.T
+                    length = lengths[windows].astype(np.float32)[:, None]
+                    least = np.minimum(SHARE * block.lengths**2, COSINE * block.lengths * length)
+                    for w, p in zip(*np.nonzero(products >= least), strict=True):
+                        number, start = int(block.numbers[p]), starts[windows[w]]
+                        d, own = int(doc[windows[w]]), passage[number]
+                        lo = max(begins[d], start - len(own))
+                        hi = min(ends[d], start + 2 * STEP + len(own))
+                        found = checked(own, alike[number], hashes[lo:hi])
+                        if found:
+                            found = (*found, float(products[w, p] / (block.lengths[p] * length[w, 0])))
+                            best[d, number] = max(best.get((d, number), found), found)
             yield _found_rows(part, best)
 
     def _found_rows(part, best):
@@ -288,13 +334,12 @@ def _found(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(searched, FOUND)
 
 
-def _block_sums(at: np.ndarray, starts: np.ndarray, stops: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Sums of the vectors of at most STEP words from each start; the last row is zero."""
+def _window_sums(at: np.ndarray, starts: np.ndarray, stops: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of the words from each start to its stop; the last row is zero."""
     out = np.zeros((len(starts), vectors.shape[1]), np.float32)
-    if len(at):
-        for k in range(STEP):
-            place = starts + k
-            out += vectors[np.where(place < stops, at[np.minimum(place, len(at) - 1)], -1)]
+    for k in range(2 * STEP):
+        place = starts + k
+        out += vectors[np.where(place < stops, at[np.minimum(place, len(at) - 1)], -1)]
     return out
 
 
