@@ -109,6 +109,25 @@ def test_sentences(odd, none, small):
     assert "wolves watch" in kept[7] and "wolves watch" not in kept[8] and kept[10] == ""
 
 
+@pytest.mark.parametrize("marks", [False, True])
+def test_passages_inside_sentences(spark, marks):
+    """A passage in the middle of a sentence of two documents goes from the second, at any offset."""
+    rng = np.random.default_rng(4)
+    rows, passages, number = [], {}, iter(range(10**6))
+    for offset in range(30):
+        passage = [f"w{next(number)}{'.' if marks and k % 9 == 5 else ''}" for k in range(60)]
+        for doc, before in ((offset, 20), (1000 + offset, 20 + offset)):
+            around = [[f"w{next(number)}" for _ in range(n)] for n in (before, 25)]
+            rows.append((doc, " ".join([*around[0], *passage, *around[1]])))
+        passages[1000 + offset] = passage
+    docs = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], "doc_id long, text string")
+    texts = dict(rows)
+    for r in sentence_spans.clean(docs).collect():
+        kept, own = r.kept_text.split(), passages.get(r.doc_id, [])
+        assert set(texts[r.doc_id].split()) - set(kept) <= set(own)
+        assert len(set(own) & set(kept)) <= 0.5 * len(own), r.doc_id
+
+
 def test_op3_query(spark, sf, small):
     want = {d: hashlib.sha256(t.encode()).hexdigest() for (d, _), t in brute_sentences(pairs(small)).items()}
     got = queries.QUERIES["op3_sentence_spans"](spark, sf).collect()

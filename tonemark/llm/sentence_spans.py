@@ -1,8 +1,11 @@
 """Operator 3: repeated runs of sentences, removed everywhere but at their first place.
 
 A text is cut after sentence ends and line breaks; sentences of more than `LONGEST` words
-are cut further, so one endless sentence is a run too. A span is the shortest run of at
-least `SENTENCES` pieces and `WORDS` words that starts at a piece. Every span is hashed
+are cut further, so one endless sentence is a run too: after each word whose hash with the
+next word is the smallest among `NEAR` words to both sides. Those places depend on the
+words around them alone, so a passage gets the same pieces wherever it stands in a
+sentence. A span is the shortest run of at least `SENTENCES` pieces and `WORDS` words that
+starts at a piece. Every span is hashed
 (128 bits over lower-cased words), hashes are joined over all documents, and pieces that
 any non-first occurrence covers are removed. First is the smallest (doc_id, text hash,
 place).
@@ -32,6 +35,7 @@ from tonemark.llm.common import KEY, dealt_texts, staged, texts_of
 SENTENCES = 3
 WORDS = 20
 LONGEST = 12
+NEAR = 3
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+")
 _WORD = re.compile(r"\s*\S+\s*")
 _SPANS = pa.schema(
@@ -49,7 +53,14 @@ def pieces(text: str) -> list[str]:
             out.append(sentence)
         else:
             parts = _WORD.findall(sentence)
-            out += ["".join(parts[k : k + LONGEST]) for k in range(0, len(parts), LONGEST)]
+            words = [w.lower() for w in words]
+            hashes = [xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:])]
+            begin = 0
+            for k, h in enumerate(hashes, 1):
+                if h == min(hashes[max(0, k - 1 - NEAR) : k + NEAR]):
+                    out.append("".join(parts[begin:k]))
+                    begin = k
+            out.append("".join(parts[begin:]))
     return out
 
 
