@@ -180,6 +180,13 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_rare_languages_stay_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(output_codes, "MOST_ROWS", 40)
+    rows = [(k, f"text {k}", f"big{k % 4}") for k in range(1200)] + [(5000 + k, f"rare {k}", "rare") for k in range(8)]
+    langs = output_codes.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20)[1]
+    assert len(langs) == 40 and langs.count("rare") >= 4
+
+
 def test_language_of_odd_rows(odd, none):
     rows = output_codes.predict(odd).collect()
     assert len(rows) == odd.count()

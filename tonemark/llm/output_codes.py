@@ -82,13 +82,15 @@ def fit_bits(x: np.ndarray, sides: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
-    """Features and languages of a sample by hash, the same share of each language's rows."""
+    """Features and languages of a sample by hash, the same number of rows of each language, all of a small one."""
     known = docs.select("text", F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = known.join(sizes, "lang").filter(place * F.col("rows") < per_language)
+    # The rank within the language, so that the limit below takes the same number of each.
+    place = place * F.col("rows")
+    drawn = known.join(sizes, "lang").filter(place < per_language)
 
     def described(batches):
         for batch in batches:
