@@ -103,6 +103,12 @@ def test_urls_without_labels(spark, pages, page_labels):
     assert url_rules.judge(pages.limit(0), page_labels).collect() == []
 
 
+def test_deep_paths_are_tokens(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/en/docs/forum/casino7/x.html")], "page_id long, url string")
+    tokens = url_rules.described(pages).first().tokens
+    assert {"path=en", "path=docs", "path=forum", "path=casino#", "path=x.html"} <= set(tokens)
+
+
 def test_op4_query(spark, sf):
     got = queries.QUERIES["op4_url_rules"](spark, sf)
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

@@ -61,7 +61,7 @@ def fixed_rule(rules=RULES) -> tuple[Column, Column]:
 
 def tokens(url: Column) -> Column:
     """Distinct tokens of the URL, from the columns host and path."""
-    parts = F.slice(F.filter(F.split("path", "/"), lambda p: p != ""), 1, 2)
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
     masked = F.transform(parts, lambda p: F.concat(F.lit("path="), F.regexp_replace(p, r"\d+", "#")))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda p: F.concat(F.lit("key="), F.split(p, "=")[0]))
