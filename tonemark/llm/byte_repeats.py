@@ -1,4 +1,6 @@
-"""Operator 2: bytes of repeated strings, by prefix doubling over sampled suffixes.
+"""Operator 2: bytes of repeated strings, by ranks of sampled suffixes.
+
+Sampled strings and names of blocks take the place of prefix doubling.
 
 A byte goes if it lies in a string of `LENGTH` bytes that also starts anywhere else.
 Sorting all suffixes would move every byte many times, so suffixes are sampled first:
