@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tonemark.llm import (
     byte_repeats,
+    disclosure,
     exact_dedup,
     latent_retrieval,
+    lexical_search,
     lsh_forest,
     neighbour_quality,
     output_codes,
@@ -18,6 +20,7 @@ from tonemark.llm import (
     sentence_spans,
     token_files,
     url_rules,
+    whitening,
 )
 from tonemark.llm.common import table
 from tonemark.sources.storage import new_path
@@ -99,3 +102,60 @@ def op10_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = latent_retrieval.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     columns = (F.round(c, 6).alias(c) for c in ("cosine", "common", "answer"))
     return found.select("doc_id", "item_id", *columns)
+
+
+@query("op11_disclosure")
+def op11_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.clean(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op12_spectrum_whitening")
+def op12_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.rows(table(spark, sf_dir, "embeddings"))
+
+
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+@query(
+    "op13_lexical_search",
+    f"""
+    WITH words AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_TERM}) AS terms
+        FROM documents
+    ),
+    known AS (SELECT r, doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+    size AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM known),
+    counted AS (
+        SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM known) GROUP BY r, term
+    ),
+    items AS (
+        SELECT row_number() OVER () AS k, item_id,
+               list_distinct(regexp_extract_all(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_TERM})) AS terms
+        FROM benchmark
+    ),
+    wanted AS (SELECT k, item_id, unnest(terms) AS term FROM items),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM counted, size
+        WHERE term IN (SELECT term FROM wanted)
+        GROUP BY term, n_docs
+    ),
+    scored AS (
+        SELECT k, item_id, r, doc_id,
+               sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+        FROM wanted JOIN counted USING (term) JOIN weights USING (term) JOIN known USING (r), size
+        GROUP BY k, item_id, r, doc_id
+    ),
+    ranked AS (
+        SELECT item_id, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank,
+               doc_id, score
+        FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
