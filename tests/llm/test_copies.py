@@ -81,6 +81,12 @@ def brute_sentences(rows):
                 if sum(map(len, words_of[i:j])) >= sentence_spans.WORDS:
                     places[tuple(map(tuple, words_of[i:j]))].add((d is not None, d or 0, t, i, j))
                     break
+        for j in range(1, len(parts) + 1):
+            if j == len(parts) or "\n" in parts[j - 1][len(parts[j - 1].rstrip()) :]:
+                for i in range(j - sentence_spans.SENTENCES, -1, -1):
+                    if sum(map(len, words_of[i:j])) >= sentence_spans.WORDS:
+                        places[tuple(map(tuple, words_of[i:j]))].add((d is not None, d or 0, t, i, j))
+                        break
     # The order of texts with one doc_id is that of a hash; such ties are left out here.
     gone = defaultdict(set)
     for found in places.values():
@@ -94,6 +100,44 @@ def test_sentence_pieces_are_lossless(odd, small):
         assert "".join(sentence_spans.pieces(text)) == text
 
 
+def looped_pieces(text):
+    """The pieces of an ASCII text, word by word; only the hash of two words is the module's."""
+    found = [(m[0], m.start()) for m in re.finditer(r"[^ \t\n\r\f\v]+", text)]
+    sentences, here = [], []
+    for k, (word, at) in enumerate(found):
+        here.append(k)
+        rest = text[at + len(word) : found[k + 1][1]] if k + 1 < len(found) else "\n"
+        if word[-1] in ".!?" or "\n" in rest:
+            sentences.append(here)
+            here = []
+    ends = set()
+    for sentence in sentences:
+        ends.add(sentence[-1])
+        if len(sentence) > sentence_spans.LONGEST:
+            hashes = [pair_hash(found[k][0], found[k + 1][0]) for k in sentence[:-1]]
+            for i, h in enumerate(hashes):
+                if h == min(hashes[max(0, i - sentence_spans.NEAR) : i + sentence_spans.NEAR + 1]):
+                    ends.add(sentence[i])
+    cuts = [found[k + 1][1] for k in sorted(ends) if k + 1 < len(found)]
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if text else []
+
+
+def pair_hash(first, second):
+    a, b = sentence_spans.Pieces([f"{first} {second}".encode()], sentence_spans._Powers()).hashes
+    return int(words.mixed(np.array([a * np.uint64(sentence_spans._BASES[1]) + b]))[0])
+
+
+def test_pieces_by_loops():
+    rng = np.random.default_rng(8)
+    vocabulary = ["one", "Two.", "three", "fo.ur", "five!", "six", "seven", "\n", "\n\n", "  ", "eight", "nine", "a", "a"]
+    texts = [" ".join(rng.choice(vocabulary, n, p=[0.1, 0.03, *[0.1] * 2, 0.02, *[0.1] * 2, *[0.01] * 2, 0.03, *[0.1] * 4])) for n in [0, 1, 2, 5, 40, 200, 400] * 5]
+    for text in [*texts, "", " ", "\n", " a", "a ", "a.", ". . .", *(f"w{k} " * k for k in range(30))]:
+        assert sentence_spans.pieces(text) == looped_pieces(text)
+    # Texts cut together are cut as they are alone.
+    together = sentence_spans.Pieces([t.encode() for t in texts], sentence_spans._Powers())
+    assert [b - a for a, b in zip(together.begin, together.end)] == [len(looped_pieces(t)) if t.strip() else 0 for t in texts]
+
+
 def test_sentences(odd, none, small):
     for docs in (odd.filter("doc_id is not null"), small):
         want = {d: kept for (d, _), kept in brute_sentences(pairs(docs)).items()}
