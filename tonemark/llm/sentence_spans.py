@@ -11,9 +11,10 @@ pieces that any non-first occurrence covers are removed. First is the smallest (
 hash, place).
 
 Whole batches of texts are cut and hashed at once: word hashes, cut places and span hashes
-are sums and comparisons of arrays. Counts are combined before the shuffle, and the repeated
-hashes are joined back to the spans with a hot hash's spans spread over tasks. The text moves
-once: compressed, dealt by document and cached.
+are sums and comparisons of arrays. Half a hash is counted first; only spans that share it
+move whole. Counts are combined before the shuffle, and hashes are joined back to the spans
+with a hot hash's spans spread over tasks. The text moves once: compressed, dealt by document
+and cached.
 
 Defined results: a null or empty text has no pieces, one of white space is one; texts with
 fewer words than a span lose nothing; rows equal in doc_id and text count as one document and lose the
@@ -181,13 +182,16 @@ def _span_rows(batches):
 def removals(texts: DataFrame) -> DataFrame:
     """d, th and the list of (at, pieces) of repeated spans that go, for `dealt_texts`."""
     found = texts.select(*KEY, "packed").mapInArrow(_span_rows, SPANS)
+    # Half a hash, and nothing else, tells which spans can be repeated; only those move whole.
+    met = staged(found.groupBy("high").agg(F.count("*").alias("times")).filter("times > 1"), "met-hashes")
+    spans = staged(lookup_join(found, met, ["high"], count_col="times", spread_by="d", row_bytes=48).select(*found.columns), "met-spans")
     place = F.struct(*KEY, "at")
     repeated = staged(
-        found.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1"),
+        spans.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1"),
         "repeated-spans",
     )
-    met = lookup_join(found, repeated, ["high", "low"], count_col="times", spread_by="d", row_bytes=48)
-    return met.filter(place != F.col("first")).groupBy(*KEY).agg(F.collect_set(F.struct("at", "pieces")).alias("gone"))
+    later = lookup_join(spans, repeated, ["high", "low"], count_col="times", spread_by="d", row_bytes=48)
+    return later.filter(place != F.col("first")).groupBy(*KEY).agg(F.collect_set(F.struct("at", "pieces")).alias("gone"))
 
 
 _CUT = (
