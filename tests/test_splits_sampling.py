@@ -8,6 +8,7 @@ from tonemark.operators.grids import (
     prompt_manifest, synthetic_grid,
 )
 from tonemark.operators.joins import assert_speaker_disjoint, split_violations
+from tonemark.schema import LABELS
 
 
 @pytest.fixture(scope="module")
@@ -136,3 +137,56 @@ def test_combo_forces_extras_into_train(spark):
     extra = spark.createDataFrame([("", "b")], "split string, clip_id string")
     got = {r["clip_id"]: r["split"] for r in sampling.combo_train_set(base, [extra]).collect()}
     assert got == {"a": "test", "b": "train"}
+
+
+def draws_by_sorting(rows, keep, seeds, minimum=2):
+    """(clip, level, majority, seed) of every draw by sorting the hashes of whole groups."""
+    import hashlib
+
+    groups = {}
+    for clip, speaker, label in rows:
+        groups.setdefault((speaker, label), []).append(clip)
+    out = []
+    for (_, label), clips in groups.items():
+        for level, share in keep.items():
+            for majority in LABELS:
+                for seed in range(seeds):
+                    key = f"{level}|{majority}|{seed}"
+                    order = sorted(
+                        clips, key=lambda c: (int(hashlib.md5((f"{key}|{c}" if c else key).encode()).hexdigest()[:15], 16), c is not None, c or "")
+                    )
+                    n = len(clips) if label == majority or share >= 1 else max(minimum, round(share * len(clips)))
+                    if label in LABELS:
+                        out += [(c, level, majority, seed) for c in order[:n]]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("slice_rows", [None, 40])
+def test_skewed_draws_by_sorting(spark, slice_rows):
+    """Small, hot, NULL and unknown groups; groups cut into slices give the same rows."""
+    rows = [(f"h{k}", "hot", LABELS[k % 3]) for k in range(400)]
+    rows += [(f"s{k}", f"small{k % 5}", LABELS[k % 2]) for k in range(21)] + [("one", "single", "neutral")]
+    rows += [(f"n{k}", None, "negative") for k in range(30)] + [("x1", "hot", "other"), ("x2", "hot", None), (None, "hot", "positive")]
+    df = spark.createDataFrame([(*r, 1.5) for r in rows], "clip_id string, speaker_id string, prosody_sentiment string, cuts double")
+    keep = {"balanced": 1.0, "moderate": 0.45, "strong": 0.22}
+    got = sampling.skewed_draws(df, keep=keep, seeds=2, slice_rows=slice_rows)
+    assert got.columns == [*df.columns, "level", "majority", "seed"]
+    found = [(r.clip_id, r.level, r.majority, r.seed) for r in got.collect()]
+    assert sorted(found, key=str) == draws_by_sorting(rows, keep, 2)
+
+
+def test_missed_cuts_are_looked_for_again(spark):
+    """A part of the hash space far too narrow is widened until it holds every cut."""
+    rows = [(f"h{k}", "hot", LABELS[k % 3]) for k in range(600)]
+    df = spark.createDataFrame(rows, "clip_id string, speaker_id string, prosody_sentiment string")
+    groups, draws = ["speaker_id", "prosody_sentiment"], sampling.draw_list(seeds=2)
+    cuts = [
+        sorted(map(str, sampling.cut_finder(df, groups, groups[1], draws, minimum=2, slice_rows=n, width=w).collect()))
+        for n, w in ((None, 8.0), (30, 8.0), (30, 1e-4))
+    ]
+    assert cuts[0] == cuts[1] == cuts[2]
+
+
+def test_no_rows_no_draws(spark):
+    df = spark.createDataFrame([], "clip_id string, speaker_id string, prosody_sentiment string")
+    assert sampling.skewed_draws(df).collect() == []

@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonemark import fixed_values as fixed
-from tonemark.functions.hashing import stable_hash
+from tonemark.functions.hashing import HASH_SPACE, stable_hash
 from tonemark.functions.labels import pick
-from tonemark.operators.scale import lookup_join, one_row, take_by_hash
+from tonemark.operators.scale import beside, lookup_join, one_row, take_by_hash
 from tonemark.schema import LABELS
+from tonemark.sources.storage import new_path
+
+# Rows of a group whose hashes one task of the cut finder looks at.
+SLICE_ROWS = 100_000
+# Half the width, in standard deviations, of the part of the hash space that must hold a cut.
+CUT_WIDTH = 8.0
 
 
 def stratified_subset(
@@ -60,25 +72,177 @@ def sample_with_fill(
     )
 
 
+@dataclass(frozen=True)
+class Draw:
+    """One class-imbalanced draw; `slots` are its places among the draws that thin a class."""
+
+    level: str
+    majority: str
+    seed: int
+    keep: float
+    slots: tuple[int | None, ...]
+
+    @property
+    def prefix(self) -> str:
+        return f"{self.level}|{self.majority}|{self.seed}"
+
+
 def draw_list(
     keep: Mapping[str, float] = fixed.SKEW_KEEP,
     majorities: Sequence[str] = LABELS,
     seeds: int = 20,
-):
-    """Array literal of draws: (level, majority, seed, keep)."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(level).alias("level"),
-                F.lit(m).alias("majority"),
-                F.lit(s).cast("bigint").alias("seed"),
-                F.lit(float(share)).alias("keep"),
-            )
-            for level, share in keep.items()
-            for m in majorities
-            for s in range(seeds)
+) -> list[Draw]:
+    """Every level with every majority and seed. A draw keeps its majority whole."""
+    out, used = [], dict.fromkeys(LABELS, 0)
+    for level, share in keep.items():
+        for majority in majorities:
+            for seed in range(seeds):
+                slots = []
+                for label in LABELS:
+                    thinned = share < 1 and label != majority
+                    slots.append(used[label] if thinned else None)
+                    used[label] += thinned
+                out.append(Draw(level, majority, seed, float(share), tuple(slots)))
+    return out
+
+
+def partitions(spark: SparkSession) -> int:
+    """Tasks of work that grows by the number of draws: by bytes, Spark would plan too few."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _hashes(prefix: str, ids: Sequence[str | None]) -> np.ndarray:
+    """`stable_hash` of the prefix and each id."""
+    begun, begun_alone = hashlib.md5(f"{prefix}|".encode()), hashlib.md5(prefix.encode()).digest()
+    out = []
+    for x in ids:
+        if x is None:
+            out.append(begun_alone[:8])
+        else:
+            h = begun.copy()
+            h.update(x.encode())
+            out.append(h.digest()[:8])
+    return np.frombuffer(b"".join(out), ">u8").astype(np.uint64) >> np.uint64(4)
+
+
+def _by_id(x: str | None) -> tuple[bool, str]:
+    return x is not None, x or ""
+
+
+def slices_of(slice_rows: int | None = None) -> Column:
+    """Slices of a group of `group_n` rows."""
+    return F.greatest(F.ceil(F.col("group_n") / F.lit(slice_rows or SLICE_ROWS)), F.lit(1)).cast("int")
+
+
+_TALLY = pa.list_(
+    pa.struct(
+        [
+            ("slot", pa.int32()),
+            ("need", pa.int64()),
+            ("below", pa.int64()),
+            ("near", pa.list_(pa.struct([("h", pa.int64()), ("id", pa.string())]))),
         ]
     )
+)
+
+
+def _tallies(ids: list[str | None], n: int, alone: bool, plan: Sequence[tuple[int, str, int]], width: float) -> list[dict]:
+    """What one slice of a group knows of each draw's cut.
+
+    `near` are its (hash, id) in the part of the hash space that must hold the cut of the whole
+    group, `below` counts the rows under it. A slice that is the whole group has the cut.
+    """
+    out = []
+    for slot, prefix, need in plan:
+        h = _hashes(prefix, ids)
+        if alone:
+            at = need - 1
+            value = np.partition(h, at)[at]
+            below = int((h < value).sum())
+            same = sorted((ids[k] for k in np.flatnonzero(h == value)), key=_by_id)
+            near = [(int(value), same[at - below])]
+            below = at
+        else:
+            share = need / n
+            slack = width * (share * (1 - share) / n) ** 0.5 + 2 / n
+            low, high = (int(min(max(x, 0.0), 1.0) * HASH_SPACE) for x in (share - slack, share + slack))
+            below = int((h < low).sum())
+            near = [(int(h[k]), ids[k]) for k in np.flatnonzero((h >= low) & (h <= high))]
+        out.append({"slot": slot, "need": need, "below": below, "near": [{"h": a, "id": b} for a, b in near]})
+    return out
+
+
+def cut_finder(
+    rows: DataFrame,
+    groups: Sequence[str],
+    label: str,
+    draws: Sequence[Draw],
+    *,
+    minimum: int,
+    slice_rows: int | None = None,
+    width: float = CUT_WIDTH,
+) -> DataFrame:
+    """Per group (the last key is its class): `group_n` and `cuts`, the last (hash, id) of each thinning draw.
+
+    Groups are dealt to tasks in slices of about `slice_rows` ids; ids move once and are hashed
+    there for all draws, so nothing is multiplied by the draws before a shuffle. A large
+    group's slices send counts and the few hashes around the wanted rank, which uniform hashes
+    bound; a cut that they should miss is looked for again in a wider part. One row a draw and
+    slice is merged.
+    """
+    groups = list(groups)
+    spark = rows.sparkSession
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n"))
+    sized = lookup_join(rows.select(*groups, "clip_id"), sizes, groups, count_col="group_n", spread_by="clip_id")
+    slices = slices_of(slice_rows)
+    sliced = sized.withColumns({"_slices": slices, "_slice": F.pmod(F.xxhash64("clip_id"), slices)})
+
+    def find(some: DataFrame, width: float) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            head = table.slice(0, 1)
+            n, alone = head.column("group_n")[0].as_py(), head.column("_slices")[0].as_py() == 1
+            at = LABELS.index(head.column(label)[0].as_py())
+            plan = [
+                (d.slots[at], d.prefix, min(n, max(minimum, round(d.keep * n)))) for d in draws if d.slots[at] is not None
+            ]
+            tallies = _tallies(table.column("clip_id").to_pylist(), n, alone, plan, width)
+            return pa.table([*(head.column(c) for c in (*groups, "group_n")), pa.array([tallies], _TALLY)], [*groups, "group_n", "t"])
+
+        kinds = {f.name: f.dataType.simpleString() for f in some.schema.fields}
+        schema = ", ".join(f"`{c}` {kinds[c]}" for c in groups)
+        dealt = some.repartition(partitions(spark), *groups, "_slice")
+        tallies = dealt.groupBy(*groups, "_slice").applyInArrow(
+            run,
+            f"{schema}, group_n bigint, t array<struct<slot: int, need: bigint, below: bigint, near: array<struct<h: bigint, id: string>>>>",
+        )
+        merged = (
+            tallies.select(*groups, "group_n", F.inline("t"))
+            .groupBy(*groups, "slot")
+            .agg(
+                F.max("group_n").alias("group_n"),
+                (F.max("need") - F.sum("below")).cast("int").alias("at"),
+                F.sort_array(F.flatten(F.collect_list("near"))).alias("near"),
+            )
+        )
+        inside = F.col("at").between(1, F.size("near"))
+        path = new_path(spark, "cuts")
+        merged.select(*groups, "slot", "group_n", F.when(inside, F.get("near", F.col("at") - 1)).alias("cut")).write.parquet(path)
+        return spark.read.parquet(path)
+
+    found, left = [], sliced
+    while True:
+        cuts = find(left, width)
+        missed = cuts.where("cut is null").select(*groups).distinct()
+        if missed.isEmpty():
+            break
+        found.append(beside(cuts, missed.withColumn("_missed", F.lit(True)), groups).where("_missed is null").drop("_missed"))
+        left = beside(sliced, missed.withColumn("_missed", F.lit(True)), groups, "inner").drop("_missed")
+        width *= 8
+    whole = reduce(DataFrame.unionByName, [*found, cuts])
+    ordered = F.sort_array(F.collect_list(F.struct("slot", "cut")))
+    cut_lists = whole.groupBy(*groups).agg(F.transform(ordered, lambda x: x["cut"]).alias("cuts"))
+    # A class that no draw thins has no cuts, but rows.
+    return beside(sizes, cut_lists, groups)
 
 
 def skewed_draws(
@@ -88,39 +252,48 @@ def skewed_draws(
     seeds: int = 20,
     minimum: int = 2,
     label: str = "prosody_sentiment",
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Class-imbalanced draws within each speaker, one copy of a row per draw.
 
-    The majority class keeps every row, another class max(minimum, round(keep*n)).
-    Class sizes are counted once, before rows are multiplied by draws, and rows
-    that are kept in any case skip the ranking.
+    The majority class keeps every row, another class the max(minimum, round(keep*n)) rows of
+    the smallest hashes. The cut of every draw is found first; rows then move once, in slices
+    of their group, meet its cuts and leave the task with the list of their draws.
+    Rows of no known class are in no draw; rows of equal id go together.
     """
     groups = ["speaker_id", label]
-    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n"))
-    sized = lookup_join(df, sizes, groups, count_col="group_n", spread_by="clip_id")
-    drawn = sized.withColumn("_d", F.explode(draw_list(keep, LABELS, seeds)))
-    columns = [*sized.columns, "level", "majority", "seed", "keep"]
-    drawn = drawn.select(*sized.columns, "_d.*")
-    quota = F.greatest(
-        F.lit(minimum), F.bround(F.col("keep") * F.col("group_n")).cast("bigint")
-    )
-    certain = (F.col(label) == F.col("majority")) | (quota >= F.col("group_n"))
-    ranked = drawn.where(~certain).withColumn(
-        "_h",
-        stable_hash(
-            F.concat_ws("|", "level", "majority", F.col("seed").cast("string")), F.col("clip_id")
-        ),
-    )
-    picked = take_by_hash(
-        ranked,
-        ["level", "majority", "seed", "keep", *groups],
-        "_h",
-        lambda _: quota,
-        sized=True,
-    )
-    return drawn.where(certain).select(*columns).unionByName(picked.select(*columns)).drop(
-        "group_n", "keep"
-    )
+    draws = draw_list(keep, LABELS, seeds)
+    columns, known = df.columns, df.where(F.col(label).isin(*LABELS))
+    cuts = cut_finder(known, groups, label, draws, minimum=minimum, slice_rows=slice_rows)
+    sized = lookup_join(known, cuts.select(*groups, "group_n"), groups, count_col="group_n", spread_by="clip_id")
+    slices = slices_of(slice_rows)
+    dealt = sized.select(*columns, F.pmod(F.xxhash64("clip_id"), slices).cast("int").alias("_slice"))
+    beside_slices = cuts.select(*groups, "cuts", F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice"))
+
+    def pick(rows: pa.Table, found: pa.Table) -> pa.Table:
+        kept = np.ones((rows.num_rows, len(draws)), bool)
+        if rows.num_rows:
+            at, ids = LABELS.index(rows.column(label)[0].as_py()), rows.column("clip_id").cast(pa.string()).to_pylist()
+            held = found.column("cuts")[0].as_py()
+            for k, d in enumerate(draws):
+                if d.slots[at] is not None:
+                    h, last = _hashes(d.prefix, ids), held[d.slots[at]]
+                    kept[:, k] = h <= last["h"]
+                    for i in np.flatnonzero(h == last["h"]):
+                        kept[i, k] = _by_id(ids[i]) <= _by_id(last["id"])
+        offsets = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(kept)[1].astype(np.int32)))
+        return rows.select(columns).append_column("_draws", places)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    spread = dealt.repartition(partitions(df.sparkSession), *groups, "_slice")
+    keys = [*groups, "_slice"]
+    picked = spread.groupBy(*keys).cogroup(beside_slices.groupBy(*keys)).applyInArrow(pick, f"{schema}, _draws array<int>")
+    # One literal; thousands of columns would take longer to plan than to run.
+    named = json.dumps([{"level": d.level, "majority": d.majority, "seed": d.seed} for d in draws])
+    listed = F.from_json(F.lit(named), "array<struct<level: string, majority: string, seed: bigint>>")
+    copies = picked.select(*columns, F.explode("_draws").alias("_at")).withColumn("_d", F.get(listed, F.col("_at")))
+    return copies.select(*columns, "_d.level", "_d.majority", "_d.seed")
 
 
 def augment_draw(index: DataFrame, *, seed: int = 0, i: str = "i") -> DataFrame:

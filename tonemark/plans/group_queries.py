@@ -222,7 +222,10 @@ def draws_sql():
 
 
 def clip_draws(v):
-    return sampling.skewed_draws(v.clips, seeds=SEEDS)
+    used = v.clips.select(
+        "clip_id", "speaker_id", "prosody_sentiment", "text_sentiment", "event_id", "value"
+    )
+    return sampling.skewed_draws(used, seeds=SEEDS)
 
 
 @query(
