@@ -192,7 +192,10 @@ def cut_finder(
     """
     groups = list(groups)
     spark = rows.sparkSession
-    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n"))
+    # One row a group, stored: it is joined to tables made from the same rows.
+    sizes_path = new_path(spark, "sizes")
+    rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n")).write.parquet(sizes_path)
+    sizes = spark.read.parquet(sizes_path)
     sized = lookup_join(rows.select(*groups, "clip_id"), sizes, groups, count_col="group_n", spread_by="clip_id")
     slices = slices_of(slice_rows)
     sliced = sized.withColumns({"_slices": slices, "_slice": F.pmod(F.xxhash64("clip_id"), slices)})
