@@ -2,6 +2,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+EXTRA = "_text string, score double, quality int, _id long, _other long, _hash long, _sha string, _score double, name string"
 LONG = " ".join(f"word{k % 977} tail{k % 13}" for k in range(60_000))
 PASSAGE = (
     "the quick brown fox jumps over the lazy dog while seven grey wolves watch from a distant hill. "
@@ -31,8 +32,8 @@ def odd_documents(spark):
         (13, "tie", "de", "a", 1),
         (14, "\u00c9t\u00e9 \U0001f600 na\u00efve \u4f60\u597d", "fr", "a", 1),
     ]
-    extra = [(*r, "x", 1.0, 2) for r in rows]
-    return spark.createDataFrame(extra, f"{SCHEMA}, _text string, score double, quality int")
+    extra = [(*r, "x", 1.0, 2, 3, 4, 5, "s", 0.1, "n") for r in rows]
+    return spark.createDataFrame(extra, f"{SCHEMA}, {EXTRA}")
 
 
 @pytest.fixture(scope="session")
@@ -42,7 +43,7 @@ def odd(spark):
 
 @pytest.fixture(scope="session")
 def none(spark):
-    return spark.createDataFrame([], f"{SCHEMA}, _text string, score double, quality int")
+    return spark.createDataFrame([], f"{SCHEMA}, {EXTRA}")
 
 
 @pytest.fixture(scope="session")

@@ -109,6 +109,27 @@ def test_deep_paths_are_tokens(spark):
     assert {"path=en", "path=docs", "path=forum", "path=casino#", "path=x.html"} <= set(tokens)
 
 
+def test_constant_parts_are_one_token(spark):
+    """Twenty parts that always stand together would be a million itemsets."""
+    import time
+
+    began = time.time()
+    fixed_parts = "/".join(f"part{chr(97 + k)}" for k in range(20))
+    rows = [(k, f"http://one.example.org/{fixed_parts}/{'bad' if k % 2 else 'good'}") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(150)], "doc_id long, quality int, toxic int")
+    rules = url_rules.associations(pages, labels).collect()
+    assert [r.classes for r in rules] == [[["path=bad"]]] and time.time() - began < 30
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, labels, rules=()).collect()}
+    assert got == {k: "block" if k % 2 else "allow" for k in range(200)}
+
+
+def test_query_keys_come_before_the_fragment(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x#f?no=1"), (2, "http://a.net/x?yes=1#f")], "page_id long, url string")
+    first, second = (r.tokens for r in url_rules.described(pages).orderBy("page_id").collect())
+    assert not any(t.startswith("key=") for t in first) and "key=yes" in second
+
+
 def test_op4_query(spark, sf):
     got = queries.QUERIES["op4_url_rules"](spark, sf)
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
@@ -318,3 +339,25 @@ def test_retrieval_in_blocks(spark, monkeypatch):
     want = sorted((r.doc_id, r.item_id) for r in latent_retrieval.find(docs, benchmark).collect())
     monkeypatch.setattr(latent_retrieval, "MOST_WORDS", 600)
     assert sorted((r.doc_id, r.item_id) for r in latent_retrieval.find(docs, benchmark).collect()) == want
+
+
+def test_short_items_are_found_word_for_word(spark):
+    """Items of one to seven words, by a loop over all runs of words."""
+    items = [(1, "Zebra"), (2, "one two three four five six seven"), (3, "two, three!"), (3, "two three"), (4, "three two"), (5, ""), (6, "a b c d"), (7, "zebra")]
+    docs = [
+        (1, "a zebra crossing"), (2, "zero one two three four five six seven eight"), (3, "one two. Three"), (4, "ZEBRA"), (5, None), (6, ""),
+        (7, "one two three four five six"), (8, "a b c"), (9, "x a b c d"), (9, "x a b c d"), (None, "zebras"), (10, "two"),
+    ]
+    table = spark.createDataFrame([(*r, "t", True) for r in docs], "doc_id long, text string, _id string, short boolean")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = [r for r in latent_retrieval.find(table, benchmark).collect() if r.short]
+    want = set()
+    for d, text in docs:
+        have = re.findall("[a-z0-9]+", (text or "").lower())
+        for i, item in items:
+            run = re.findall("[a-z0-9]+", item.lower())
+            if run and any(have[k : k + len(run)] == run for k in range(len(have))):
+                want.add((d, i, len(run)))
+    assert {(r.doc_id, r.item_id, r.n_words) for r in found} == want and len(found) == len(want)
+    kept = {r.doc_id for r in latent_retrieval.keep(table, benchmark).collect()}
+    assert kept == {1, 3, 4, 5, 6, 7, 8, None, 10}

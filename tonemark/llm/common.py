@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 import zstandard
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonemark.sources.storage import new_path
@@ -31,6 +31,29 @@ def doc_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the table has columns called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def among(docs: DataFrame, keys: DataFrame, how: str, name: Column) -> tuple[DataFrame, str]:
+    """The documents whose (doc_id, name) are among those of `keys` (left_semi) or not (left_anti).
+
+    Returns them with the name, and its column.
+    """
+    named, other_id, other_name = fresh(docs, "name", "other_id", "other_name")
+    keyed = docs.withColumn(named, name)
+    keys = keys.toDF(other_id, other_name)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(other_id)) & (F.col(named) == F.col(other_name))
+    return keyed.join(keys, same, how), named
+
+
 KEY = ["d", "th"]
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonemark.llm.common import doc_rows, staged
+from tonemark.llm.common import among, doc_rows, staged
 
 BUCKET_DIGESTS = 20_000
 HOT_LOOKUPS = 100_000
@@ -206,10 +206,7 @@ def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    stay = dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    hashed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    matched = hashed.join(
-        stay, F.col("doc_id").cast("long").eqNullSafe(stay["_id"]) & (hashed["_sha"] == stay["_sha"]), "left_semi"
-    )
+    stay = dedup(docs).filter("kept").select("doc_id", "text_sha256")
+    matched, named = among(docs, stay, "left_semi", F.sha2(F.coalesce("text", F.lit("")), 256))
     # Rows equal in doc_id and text: one of them.
-    return matched.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return matched.dropDuplicates(["doc_id", named]).drop(named)

@@ -21,8 +21,12 @@
 The vectors of the benchmark's words are sent to every task. Their number is bounded by
 `MOST_WORDS`: the blocks of a larger benchmark are worked off in several passes.
 
-Defined results: null and empty texts hold nothing; items of fewer than `SHORTEST` words
-cannot be told from chance and are in no result; equal items are found under each id; rows
+Items of fewer than `SHORTEST` words have no paraphrase that could be told from chance. They
+are found word for word: the hash of their whole run is looked up at every word of every text,
+and the result says that they are short. `keep` takes those of `CONTAMINATING` words and more
+for contamination; one to three words are common speech.
+
+Defined results: null and empty texts hold nothing, nor do items without a word; equal items are found under each id; rows
 equal in doc_id and text give one row an item; an empty corpus or benchmark gives no rows;
 other columns are ignored.
 """
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonemark.llm import words
-from tonemark.llm.common import staged
+from tonemark.llm.common import among, staged
 
 PASSAGE = 64
 SHORTEST = 8
@@ -47,7 +51,9 @@ COMMON = 0.8
 LOOSE = 0.6
 ANSWER = 0.8
 MOST_WORDS = 150_000
+CONTAMINATING = 4
 FOUND = "doc_id long, text_hash long, item_id long, cosine double, common double, answer double"
+_RUNS = "doc_id long, text_hash long, n_words int, run long"
 
 
 def _slices(batches, size: int = 128):
@@ -220,7 +226,82 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             found = found.unionByName(_found(docs, rows.filter(F.col("block").between(own[0], own[-1]))))
     best = F.max(F.struct("common", "answer", "cosine")).alias("best")
     merged = found.groupBy("doc_id", "text_hash", "item_id").agg(best)
-    return merged.select("doc_id", "text_hash", "item_id", "best.cosine", "best.common", "best.answer")
+    flags = (F.lit(False).alias("short"), F.lit(None).cast("int").alias("n_words"))
+    long = merged.select("doc_id", "text_hash", "item_id", "best.cosine", "best.common", "best.answer", *flags)
+    return long.unionByName(short_found(docs, benchmark))
+
+
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, n_words and the hash of the whole run of every short item."""
+
+    def cut(batches):
+        split = words.Words()
+        for part in _slices(batches):
+            hashes, counts = split(part.column("text").to_pylist())
+            rows = []
+            for item, end, n in zip(part.column("item_id").to_pylist(), np.cumsum(counts), counts, strict=True):
+                if 0 < n < SHORTEST:
+                    run, _ = words.shingles(hashes[end - n : end], np.array([n]), int(n))
+                    rows.append((item, int(n), int(run.view(np.int64)[0])))
+            yield pa.record_batch(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["item_id", "n_words", "run"]
+            )
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(cut, "item_id long, n_words int, run long")
+
+
+def _runs(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
+    """The wanted runs, by their number of words, that each text holds."""
+
+    def run(batches):
+        split = words.Words()
+        for part in _slices(batches):
+            hashes, counts = split(part.column("text").to_pylist())
+            for n, known in wanted.items():
+                got, each = words.shingles(hashes, counts, n)
+                doc = np.repeat(np.arange(len(each)), each)
+                at = np.minimum(np.searchsorted(known, got), len(known) - 1)
+                hit = (known[at] == got) & (counts[doc] >= n)
+                pairs = np.unique(np.stack([doc[hit], at[hit]]), axis=1)
+                rows = pa.array(pairs[0], pa.int32())
+                yield pa.record_batch(
+                    [
+                        part.column("doc_id").take(rows),
+                        part.column("text_hash").take(rows),
+                        pa.array([n] * len(rows), pa.int32()),
+                        pa.array(known[pairs[1]].view(np.int64)),
+                    ],
+                    ["doc_id", "text_hash", "n_words", "run"],
+                )
+
+    return _keyed(docs).mapInArrow(run, _RUNS)
+
+
+def short_found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of `find` for items of fewer than `SHORTEST` words, word for word."""
+    items = staged(short_items(benchmark), "short-items")
+    held: list[dict[int, list[int]]] = [{}]
+    size = 0
+    # At most `MOST_WORDS` runs are sent to the tasks at a time.
+    for r in items.select("n_words", "run").distinct().toLocalIterator():
+        if size == MOST_WORDS:
+            held, size = [*held, {}], 0
+        held[-1].setdefault(r["n_words"], []).append(r["run"])
+        size += 1
+    runs = docs.sparkSession.createDataFrame([], _RUNS)
+    for some in held:
+        if some:
+            runs = runs.unionByName(_runs(docs, {n: np.unique(np.array(v, np.int64).view(np.uint64)) for n, v in some.items()}))
+    one = F.lit(1.0)
+    return (
+        runs.distinct()
+        .join(items, ["n_words", "run"])
+        .select(
+            "doc_id", "text_hash", "item_id", one.alias("cosine"), one.alias("common"), one.alias("answer"), F.lit(True).alias("short"), "n_words"
+        )
+        .distinct()
+    )
 
 
 class Block:
@@ -360,8 +441,6 @@ def checked(passage: np.ndarray, alike: frozenset, text: np.ndarray) -> tuple[fl
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    gone = find(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_other")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return hashed.join(
-        gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_other")), "left_anti"
-    ).drop("_hash")
+    found = find(docs, benchmark).filter(~F.col("short") | (F.col("n_words") >= CONTAMINATING))
+    kept, named = among(docs, found.select("doc_id", "text_hash").distinct(), "left_anti", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return kept.drop(named)

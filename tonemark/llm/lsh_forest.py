@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonemark.llm import components, words
-from tonemark.llm.common import staged
+from tonemark.llm.common import among, staged
 
 THRESHOLD = 0.8
 TREES = 16
@@ -309,11 +309,6 @@ def keep(docs: DataFrame) -> DataFrame:
 
     Texts without words all stay. Of rows equal in doc_id and text, one stays.
     """
-    stay = join(docs).filter("n_words = 0 or doc_id <=> class_id").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_other")
-    )
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    matched = hashed.join(
-        stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_other")), "left_semi"
-    )
-    return matched.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    stay = join(docs).filter("n_words = 0 or doc_id <=> class_id").select("doc_id", "text_hash")
+    matched, named = among(docs, stay, "left_semi", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return matched.dropDuplicates(["doc_id", named]).drop(named)

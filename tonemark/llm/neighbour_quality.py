@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemark.llm import words
+from tonemark.llm.common import fresh
 
 SAMPLE = 4000
 TERMS = 4096
@@ -169,8 +170,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     )
 
 
-def scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """`rows` with a column _score; `docs` gives the statistics and the labelled texts."""
+def scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, name: str = "_score") -> DataFrame:
+    """`rows` with a column of scores called `name`; `docs` gives the statistics and the labelled texts."""
     df, n_docs = document_frequencies(docs)
     idf = (np.log((1 + n_docs) / (1 + df)) + 0.2).astype(np.float32)
     counts, quality = labelled_sample(docs, labels, sample)
@@ -201,9 +202,10 @@ def scored(rows: DataFrame, docs: DataFrame, labels: DataFrame, sample: int = SA
         parts = [votes([t or "" for t in held[at : at + 256]]) for at in range(0, len(held), 256)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0)).clip(0.0, 1.0)
 
-    return rows.withColumn("_score", judged(F.coalesce("text", F.lit(""))))
+    return rows.withColumn(name, judged(F.coalesce("text", F.lit(""))))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score of 0.5 or more, with all their columns."""
-    return scored(docs, docs, labels).filter("_score >= 0.5").drop("_score")
+    (name,) = fresh(docs, "_score")
+    return scored(docs, docs, labels, name=name).filter(F.col(name) >= 0.5).drop(name)

@@ -86,7 +86,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarra
     known = docs.select("text", F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    # The sample has no room for more languages than rows, which bounds what is broadcast.
+    sizes = F.broadcast(known.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(MOST_ROWS))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     # The rank within the language, so that the limit below takes the same number of each.
     place = place * F.col("rows")
@@ -96,12 +97,23 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarra
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [r.tobytes() for r in features(part.column("text").to_pylist())]
-                yield pa.record_batch([part.column("place"), part.column("lang"), pa.array(rows, pa.binary())], ["place", "lang", "terms"])
-
-    rows = drawn.select(place.alias("place"), "lang", "text").mapInArrow(described, "place double, lang string, terms binary")
+                found = features(part.column("text").to_pylist())
+                places = [np.flatnonzero(x).astype(np.int32) for x in found]
+                yield pa.record_batch(
+                    [
+                        part.column("place"),
+                        part.column("lang"),
+                        pa.array([p.tobytes() for p in places], pa.binary()),
+                        pa.array([x[p].tobytes() for x, p in zip(found, places, strict=True)], pa.binary()),
+                    ],
+                    ["place", "lang", "places", "terms"],
+                )
+
+    rows = drawn.select(place.alias("place"), "lang", "text").mapInArrow(described, "place double, lang string, places binary, terms binary")
     held = rows.orderBy("place", "lang").limit(MOST_ROWS).collect()
-    x = np.frombuffer(b"".join(r["terms"] for r in held), np.float32).reshape(-1, TERMS)
+    x = np.zeros((len(held), TERMS), np.float32)
+    for row, r in zip(x, held, strict=True):
+        row[np.frombuffer(r["places"], np.int32)] = np.frombuffer(r["terms"], np.float32)
     return x, [r["lang"] for r in held]
 
 

@@ -101,7 +101,7 @@ def op9_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = latent_retrieval.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     columns = (F.round(c, 6).alias(c) for c in ("cosine", "common", "answer"))
-    return found.select("doc_id", "item_id", *columns)
+    return found.select("doc_id", "item_id", *columns, "short")
 
 
 @query("op11_disclosure")
