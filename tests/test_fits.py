@@ -161,13 +161,38 @@ def test_leave_group_out(spark):
     predicted = learn.leave_group_out(df, "text", 4, balanced=False)
     got = learn.recoverability(predicted, "prosody_sentiment").first()
     assert got["n"] == 90 and got["n_folds"] == 5 and got["accuracy"] > 0.7
-    with pytest.raises(ValueError, match="two groups"):
-        learn.leave_group_out(df.where("text = 't0'"), "text", 4, balanced=False)
+    # One group leaves nothing to train on: no predictions, an undefined accuracy.
+    alone = learn.leave_group_out(df.where("text = 't0'"), "text", 4, balanced=False)
+    assert alone.collect() == []
+    none = learn.recoverability(alone, "prosody_sentiment").first()
+    assert none["accuracy"] is None and none["n"] == 0
     # One fold for every group, however many there are; rows with gaps take no part.
     many = df.withColumn("g", F.col("vec_id") % 40)
     gappy = F.transform("features", lambda x: F.when(F.col("vec_id") == 3, F.lit(float("nan"))).otherwise(x))
     folds = learn.leave_group_out(many.withColumn("features", gappy), "g", 4, balanced=True)
     assert folds.count() == 89 and folds.select("fold").distinct().count() == 40
+    assert learn.incomplete(many.withColumn("features", gappy)).first()[0] == 1
+
+
+def test_gaps_are_filled_per_fold(spark):
+    """Every row is scored; a fold's fill is the median of its own training rows."""
+    df = blobs(spark)
+    missing = F.lit(None).cast("double")
+    gaps = F.transform("features", lambda x, i: F.when((F.col("vec_id") % 7 == 0) & (i == 1), missing).otherwise(x))
+    got = learn.leave_group_out(df.withColumn("features", gaps), "text", 4, balanced=True, gaps="impute")
+    assert got.count() == 90
+    filled = None
+    for fold in sorted(r[0] for r in df.select("text").distinct().collect()):
+        held = df.where(F.col("text") == fold)
+        train = df.where((F.col("text") != fold) & (F.col("vec_id") % 7 != 0))
+        middle = train.agg(F.expr("median(features[1])")).first()[0]
+        fill = F.transform("features", lambda x, i: F.when((F.col("vec_id") % 7 == 0) & (i == 1), F.lit(middle)).otherwise(x))
+        model = learn.fit(df.where(F.col("text") != fold).withColumn("features", fill), 4)["logreg"]
+        part = model.score(held.withColumn("features", fill)).select("clip_id", "sentiment")
+        filled = part if filled is None else filled.unionByName(part)
+    assert dict(filled.collect()) == {r["clip_id"]: r["predicted"] for r in got.collect()}
+    with pytest.raises(ValueError, match="gaps"):
+        learn.leave_group_out(df, "text", 4, balanced=True, gaps="keep")
 
 
 def test_single_class_folds(spark):

@@ -433,22 +433,30 @@ def leave_group_out(
     label: str = LABEL,
     balanced: bool,
     single_class: str = "skip",
+    gaps: str = "drop",
     fit_rows: int = FIT_ROWS,
 ) -> DataFrame:
     """Out-of-fold predictions, each group predicted by a model that never saw it.
 
-    Every group is a fold. Rows with a gap in their features take no part. A fold whose
-    training rows hold one class is skipped, or predicted as that class, as asked. A fit
-    reads at most about `fit_rows` labelled rows, drawn by hash.
+    Every group is a fold; fewer than two groups give no predictions. Rows with a gap in their
+    features take no part (`gaps="drop"`, `incomplete` counts them), or each fold fills them
+    with the medians of its training rows (`"impute"`). A fold whose training rows hold one
+    class is skipped, or predicted as that class, as asked. A fit reads at most about
+    `fit_rows` labelled rows, drawn by hash.
     """
-    whole = complete_vectors(df).where(F.col(group).isNotNull())
+    if gaps not in ("drop", "impute"):
+        raise ValueError(f"gaps are to drop or to impute, not {gaps!r}")
+    filled = gaps == "impute"
+    whole = (df if filled else complete_vectors(df)).where(F.col(group).isNotNull())
     kept = whole.withColumn("fold", F.col(group).cast("string"))
     path = new_path(df.sparkSession, "folds")
     kept.write.parquet(path)
     rows = df.sparkSession.read.schema(kept.schema).parquet(path)
     sizes = {r[0]: r[1] for r in rows.groupBy("fold").count().collect()}  # one fit each
+    nothing = rows.limit(0).select("clip_id", "fold", label, F.lit("").alias("predicted"))
     if len(sizes) < 2:
-        raise ValueError("leave-one-group-out needs at least two groups")
+        return nothing
+    filled = filled and has_gaps(rows)
     total = sum(sizes.values())
 
     def one(fold: str) -> DataFrame | None:
@@ -463,7 +471,7 @@ def leave_group_out(
                 return None
             only = next(iter(weights))
             return held.select("clip_id", "fold", label, F.lit(only).alias("predicted"))
-        prep = fit_preprocessing(train, width)
+        prep = fit_preprocessing(train, width, impute=filled)
         frame = training_frame(train, prep, weights, label, balanced)
         model = _logreg(frame, n)
         frame.unpersist()
@@ -474,15 +482,21 @@ def leave_group_out(
 
     parts = [p for p in in_parallel([lambda f=f: one(f) for f in sorted(sizes)]) if p is not None]
     if not parts:
-        return rows.limit(0).select("clip_id", "fold", label, F.lit("").alias("predicted"))
+        return nothing
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def incomplete(df: DataFrame, features: str = "features") -> DataFrame:
+    """n_dropped_missing_features: the rows that `complete_vectors` leaves out, as one row."""
+    gap = F.exists(features, lambda v: v.isNull() | F.isnan(v))
+    return df.agg(F.count_if(F.coalesce(gap, F.lit(True))).alias("n_dropped_missing_features"))
+
+
 def recoverability(predicted: DataFrame, label: str) -> DataFrame:
-    """Share of out-of-fold predictions that are right, over the scored rows."""
+    """Share of out-of-fold predictions that are right, over the scored rows; NULL without any."""
     return predicted.agg(
         F.avg((F.col(label) == F.col("predicted")).cast("double")).alias("accuracy"),
         F.count(F.lit(1)).alias("n"),

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tonemark.operators import experiments, learn, metrics, ranking, scoring
+from tonemark.operators.scale import one_row
 from tonemark.plans.label_queries import DOC_SCORES, vad_view
 from tonemark.plans.registry import query
 from tonemark.plans.shape import tidy
@@ -123,9 +124,9 @@ def _(v):
     descriptors = v.features.withColumn("features", F.slice("features", 1, 9))
     predicted = learn.leave_group_out(descriptors, "text", 9, balanced=False)
     return tidy(
-        learn.recoverability(predicted, "prosody_sentiment").withColumn(
-            "chance", F.lit(1 / 3)
-        )
+        learn.recoverability(predicted, "prosody_sentiment")
+        .withColumn("chance", F.lit(1 / 3))
+        .withColumn("n_dropped_missing_features", one_row(learn.incomplete(descriptors)).getField("n_dropped_missing_features"))
     )
 
 
@@ -139,7 +140,7 @@ def _(v):
         width = 16 if name == "head" else 48
         rows = v.features.withColumn("features", vector)
         predicted = learn.leave_group_out(
-            rows, "text", width, balanced=True, single_class="predict"
+            rows, "text", width, balanced=True, single_class="predict", gaps="impute"
         )
         parts.append(
             predicted.select(
