@@ -14,9 +14,7 @@ from tonemark.sources.storage import new_path
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(tokenizer, text, end):
@@ -37,7 +35,7 @@ def test_blocks_round_trip(n, top):
 @pytest.mark.parametrize(
     "text",
     ["", " ", "a b", " a", "a ", "a  b", "a\nb", "a \nb", "a\n b", "a\n\nb", "\n", "don't we'll", "a\u00a0b c", "x\0 y", "\x1c a b",
-     "a\u0085b", "<|endoftext|> x", "\u00c9t\u00e9 \u4f60\u597d \U0001f600!", "a,b ,c .", "12 345 6"],
+     "a\u0085b", "<|endoftext|> x", "hello <|endoftext|> x", "a<|endoftext|><|endoftext|>\nb", "<|endo ftext|> x", "\u00c9t\u00e9 \u4f60\u597d \U0001f600!", "a,b ,c .", "12 345 6"],
 )
 def test_pieces_encode_like_the_whole(tokenizer, text):
     assert tokens.encode([text])[0] == ids_of(tokenizer, text, 0)[:-1].astype("<u4").tobytes()

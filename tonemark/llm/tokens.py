@@ -2,7 +2,8 @@
 
 The byte-level vocabulary never joins a non-space character with a space that follows
 it, so a text may be cut before each single space or line break and every piece encoded
-alone. Texts with any other white space go through the library whole. The cache saves
+alone. Texts with any other white space, or with a token that the vocabulary adds (such
+as an end mark, which is one id), go through the library whole. The cache saves
 time only; it is emptied when full, so memory stays bounded.
 """
 
@@ -29,8 +30,8 @@ def _worker_state(vocabulary: str) -> dict:
 
         path = vocabulary if os.path.sep in vocabulary else public_tokenizers.path(vocabulary)
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        home.__dict__[vocabulary] = {"tokenizer": tokenizer, "pieces": {}}
+        added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+        home.__dict__[vocabulary] = {"tokenizer": tokenizer, "pieces": {}, "added": added}
     return home.__dict__[vocabulary]
 
 
@@ -56,7 +57,7 @@ def encode(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
     state = _worker_state(vocabulary)
     tokenizer, cache = state["tokenizer"], state["pieces"]
     texts = [text.encode("utf-8", "replace").decode() for text in texts]
-    cuts = [cut(text) for text in texts]
+    cuts = [None if any(token in text for token in state["added"]) else cut(text) for text in texts]
     if len(cache) > CACHED_PIECES:
         cache.clear()
     new = list(set().union(*(pieces for pieces in cuts if pieces)).difference(cache))
