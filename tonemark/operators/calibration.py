@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tonemark import fixed_values as fixed
 from tonemark.functions import probs as P
 from tonemark.functions.labels import literal_map
+from tonemark.operators.medians import vector_medians
 from tonemark.operators.metrics import metric_columns
 from tonemark.operators.scale import exact_percentiles, one_row
 from tonemark.schema import LABELS
@@ -187,21 +188,9 @@ def fit_whisper_thresholds(
     )
 
 
-def train_medians(train: DataFrame, features: str = "features") -> DataFrame:
-    """Exact median per dimension over training rows, NaN and NULL left out."""
-    long = train.select(F.posexplode(features).alias("dim", "x")).select(
-        "dim", F.nanvl(F.col("x"), F.lit(None).cast("double")).alias("x")
-    )
-    return exact_percentiles(long, ["dim"], "x", {"median": 0.5})
-
-
 def median_vector(train: DataFrame, width: int, features: str = "features") -> Column:
     """Training medians as one array column; a dimension without values gets NULL."""
-    m = train_medians(train, features).agg(
-        F.map_from_entries(F.collect_list(F.struct("dim", "median"))).alias("m")
-    )
-    at = one_row(m).getField("m")
-    return F.array(*[F.try_element_at(at, F.lit(i)) for i in range(width)])
+    return F.lit(vector_medians(train, width, features)).cast("array<double>")
 
 
 def impute(df: DataFrame, medians: Column, features: str = "features") -> DataFrame:

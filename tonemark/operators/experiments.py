@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tonemark.operators import joins, learn, metrics, scoring
 from tonemark.operators.bootstrap import bootstrap_ci
 from tonemark.operators.calibration import impute, median_vector
+from tonemark.operators.folded import folded_cells
 from tonemark.operators.joins import delta_vs_baseline
 from tonemark.operators.normalise import SCHEMES, normalise
-from tonemark.operators.sampling import combo_train_set, skewed_draws
+from tonemark.operators.sampling import combo_train_set, draw_copies, draw_list, draw_places, named_draw
 from tonemark.operators.summaries import draw_aggregate
 from tonemark.sources.storage import new_path
 
@@ -96,30 +97,41 @@ def skew(
     *,
     schemes: Sequence[str] = ("raw", "speaker_z"),
     seeds: int = 20,
+    fold: bool = True,
 ) -> DataFrame:
     """How scores hold up when each speaker's classes are unbalanced.
 
     Models are fitted once. Every draw is scored by every scheme and model, and
-    statistics are taken within a draw.
+    statistics are taken within a draw. A clip is stored once with the list of its draws: raw
+    scores do not depend on the draw, and linear models are folded into coefficients per draw
+    and speaker. Other models score a copy of the vector per draw under `speaker_z`, as linear
+    ones do without `fold`.
     """
     draw = ["level", "majority", "seed"]
     keys = ["scheme", "model", *draw]
     train, evaluation = imputed(train, evaluation.select(*KEPT, "features"), width)
-    # Draws hold ids only; vectors join where a draw changes them.
-    draws = stored(skewed_draws(evaluation.select(*KEPT), seeds=seeds))
-    vectors = evaluation.select("clip_id", "features")
+    listed = draw_list(seeds=seeds)
+    placed = stored(draw_places(evaluation, listed))
+    cell = ["t", "x", "p", "n"]
     parts = []
     for scheme in schemes:
         fitted = learn.fit(normalise(train, scheme, width), width, models)
-        if scheme == "raw":
-            once = stored(learn.score_all(fitted, vectors).select("clip_id", "sentiment", "model"))
-            scored = draws.join(once, "clip_id")
-        else:
-            rows = normalise(draws.join(vectors, "clip_id"), scheme, width, pool=draw)
-            scored = learn.score_all(fitted, rows)
-        parts.append(scored.withColumn("scheme", F.lit(scheme)))
-    rows = stored(_stack([p.select(*KEPT, "sentiment", *keys) for p in parts]))
-    per_draw = metrics.summarise(rows, keys, ["n_clips", "uar", "psi_contested"])
+        linear = {k: m.linear for k, m in fitted.items() if fold and m.linear and scheme == "speaker_z"}
+        copied = {k: m for k, m in fitted.items() if k not in linear}
+        counted = []
+        if linear:
+            folded = folded_cells(placed, len(listed), linear, width)
+            named = folded.withColumn("_d", named_draw(listed, F.col("d")))
+            counted.append(named.select("model", *[f"_d.{c}" for c in draw], *cell))
+        if copied and scheme == "raw":
+            once = learn.score_all(copied, placed).select(*KEPT, "sentiment", "model", "_draws")
+            counted.append(metrics.cells(draw_copies(once, listed), ["model", *draw]).select("model", *draw, *cell))
+        elif copied:
+            rows = learn.score_all(copied, normalise(draw_copies(placed, listed), scheme, width, pool=draw))
+            counted.append(metrics.cells(rows, ["model", *draw]).select("model", *draw, *cell))
+        parts += [c.withColumn("scheme", F.lit(scheme)) for c in counted]
+    counts = stored(_stack([p.select(*keys, *cell) for p in parts]))
+    per_draw = metrics.summarise_cells(counts, keys, ["n_clips", "uar", "psi_contested"])
     level = ["scheme", "model", "level"]
     uar = draw_aggregate(per_draw, level, "uar").withColumnsRenamed(
         {"mean": "uar_mean", "std": "uar_std", "min": "uar_min", "max": "uar_max"}
@@ -128,7 +140,7 @@ def skew(
         *level, F.col("mean").alias("psi_mean"), F.col("std").alias("psi_std")
     )
     collapsed = (
-        metrics.degeneracy(rows, keys)
+        metrics.degeneracy_of_cells(counts, keys)
         .groupBy(*level)
         .agg(F.avg(F.col("is_degenerate").cast("int").cast("double")).alias("degenerate_rate"))
     )

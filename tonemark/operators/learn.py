@@ -31,7 +31,8 @@ from tonemark import fixed_values as fixed
 from tonemark.functions.hashing import HASH_SPACE, stable_hash
 from tonemark.functions.labels import literal_map
 from tonemark.operators import metrics
-from tonemark.operators.calibration import train_medians
+from tonemark.operators.folded import Linear
+from tonemark.operators.medians import vector_medians
 from tonemark.operators.normalise import feature_stats
 from tonemark.operators.scale import global_order
 from tonemark.operators.scoring import prediction_columns
@@ -84,8 +85,7 @@ def fit_preprocessing(train: DataFrame, width: int, *, impute: bool = False) ->
     medians = None
     rows = train
     if impute:
-        found = {r["dim"]: r["median"] for r in train_medians(train).collect()}
-        medians = [found.get(i, 0.0) for i in range(width)]
+        medians = [0.0 if m is None else m for m in vector_medians(train, width)]
         missing = F.lit(None).cast("double")
         rows = train.withColumn(
             "features",
@@ -107,6 +107,7 @@ class Classifier:
     add_probs: Callable[[DataFrame], DataFrame]
     importances: list[float] | None = None
     notes: dict[str, object] = field(default_factory=dict)
+    linear: Linear | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add sentiment, probs (canonical order, 0 for unseen classes) and confidence."""
@@ -164,6 +165,43 @@ def _logreg(frame: DataFrame, total_weight: float, column: str = "x", max_iter:
     ).fit(frame)
 
 
+def canonical(classes: Sequence[str]) -> list[int]:
+    """Place of each known class among those a model has; -1 for one it does not have."""
+    return [list(classes).index(c) if c in classes else -1 for c in LABELS]
+
+
+def linear_form(prep: Preprocessing, weights: np.ndarray, bias: np.ndarray, head: Callable) -> Linear | None:
+    """Scores as a linear form of the features before scaling; None where gaps are filled first."""
+    if prep.medians is not None:
+        return None
+    stds = np.array([s if s > 0 else 1.0 for s in prep.stds])
+    scaled = weights / stds
+    return Linear(scaled, bias - scaled @ np.array(prep.means), head)
+
+
+def logit_head(places: Sequence[int]) -> Callable[[np.ndarray], np.ndarray]:
+    """Class scores of logits: an unseen class is never the largest."""
+
+    def head(scores: np.ndarray) -> np.ndarray:
+        lowest = np.full(scores.shape[:-1], -np.inf)
+        return np.stack([scores[..., k] if k >= 0 else lowest for k in places], axis=-1)
+
+    return head
+
+
+def platt_head(places: Sequence[int], slopes: np.ndarray, offsets: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Mean over the folds of their calibrated margins, which are made to sum to one in a fold."""
+
+    def head(scores: np.ndarray) -> np.ndarray:
+        margins = scores.reshape(*scores.shape[:-1], *slopes.shape)
+        with np.errstate(over="ignore"):
+            p = 1.0 / (1.0 + np.exp(-(margins * slopes + offsets)))
+        p = (p / p.sum(axis=-1, keepdims=True)).mean(axis=-2)
+        return np.stack([p[..., k] if k >= 0 else np.zeros(p.shape[:-1]) for k in places], axis=-1)
+
+    return head
+
+
 def _probability(model, column: str = "x") -> Callable[[DataFrame], DataFrame]:
     def add(df: DataFrame) -> DataFrame:
         with_x = df if column != "x" else df.withColumn("x", array_to_vector("_x"))
@@ -182,6 +220,7 @@ def fit_logreg(frame, weights, prep, n) -> Classifier:
         _probability(model),
         [float(x) for x in magnitude],
         {"coefficients": model.coefficientMatrix.toArray(), "intercepts": model.interceptVector.toArray()},
+        linear_form(prep, model.coefficientMatrix.toArray(), model.interceptVector.toArray(), logit_head(canonical(weights))),
     )
 
 
@@ -277,7 +316,15 @@ def fit_linear_svm(frame, weights, prep, n, folds: int = 3) -> Classifier:
         return df.withColumn("_p", F.array(*mean))
 
     magnitude = np.mean([np.abs(v[0]) for v in fits.values()], axis=0)
-    return Classifier("linear_svm", list(weights), prep, add, [float(x) for x in magnitude])
+    in_order = [fits[p] for p in plan]
+    slopes, offsets = (np.array([v[at] for v in in_order]).reshape(folds, k) for at in (2, 3))
+    linear = linear_form(
+        prep,
+        np.array([v[0] for v in in_order]),
+        np.array([v[1] for v in in_order]),
+        platt_head(canonical(weights), slopes, offsets),
+    )
+    return Classifier("linear_svm", list(weights), prep, add, [float(x) for x in magnitude], linear=linear)
 
 
 def fit_boosted_trees(frame, weights, prep, n, rounds: int = 100) -> Classifier:

@@ -92,8 +92,12 @@ def metric_columns() -> dict[str, Column]:
 
 
 def summarise(rows: DataFrame, groups: Sequence[str], names: Sequence[str]) -> DataFrame:
+    return summarise_cells(cells(rows, groups), groups, names)
+
+
+def summarise_cells(counted: DataFrame, groups: Sequence[str], names: Sequence[str]) -> DataFrame:
     columns = metric_columns()
-    return cells(rows, groups).groupBy(*groups).agg(*[columns[n].alias(n) for n in names])
+    return counted.groupBy(*groups).agg(*[columns[n].alias(n) for n in names])
 
 
 def calibration_error(cell_rows: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -171,14 +175,14 @@ def as_results(evaluated: DataFrame, git_sha: str = "unknown") -> DataFrame:
 
 def degeneracy(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Most predicted class, its share, and whether the model has collapsed."""
+    predicted = rows.groupBy(*groups, F.col(PRED).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return degeneracy_of_cells(predicted, groups)
+
+
+def degeneracy_of_cells(cell_rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """`degeneracy` from counts n per predicted class p and whatever else."""
     p = F.col("p")
-    counts = [_n(p == c) for c in LABELS]
-    counted = (
-        rows.groupBy(*groups, F.col(PRED).alias("p"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*groups)
-        .agg(*[c.alias(f"n_{x}") for c, x in zip(counts, LABELS, strict=True)])
-    )
+    counted = cell_rows.groupBy(*groups).agg(*[_n(p == x).alias(f"n_{x}") for x in LABELS])
     vector = F.array(*[F.col(f"n_{x}") for x in LABELS])
     total = F.col("n_negative") + F.col("n_neutral") + F.col("n_positive")
     top = F.array_max(vector)

@@ -248,16 +248,15 @@ def cut_finder(
     return beside(sizes, cut_lists, groups)
 
 
-def skewed_draws(
+def draw_places(
     df: DataFrame,
+    draws: Sequence[Draw],
     *,
-    keep: Mapping[str, float] = fixed.SKEW_KEEP,
-    seeds: int = 20,
     minimum: int = 2,
     label: str = "prosody_sentiment",
     slice_rows: int | None = None,
 ) -> DataFrame:
-    """Class-imbalanced draws within each speaker, one copy of a row per draw.
+    """Rows of known classes with `_draws`, the places of their draws in the list of draws.
 
     The majority class keeps every row, another class the max(minimum, round(keep*n)) rows of
     the smallest hashes. The cut of every draw is found first; rows then move once, in slices
@@ -265,7 +264,6 @@ def skewed_draws(
     Rows of no known class are in no draw; rows of equal id go together.
     """
     groups = ["speaker_id", label]
-    draws = draw_list(keep, LABELS, seeds)
     columns, known = df.columns, df.where(F.col(label).isin(*LABELS))
     cuts = cut_finder(known, groups, label, draws, minimum=minimum, slice_rows=slice_rows)
     sized = lookup_join(known, cuts.select(*groups, "group_n"), groups, count_col="group_n", spread_by="clip_id")
@@ -291,14 +289,38 @@ def skewed_draws(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     spread = dealt.repartition(partitions(df.sparkSession), *groups, "_slice")
     keys = [*groups, "_slice"]
-    picked = spread.groupBy(*keys).cogroup(beside_slices.groupBy(*keys)).applyInArrow(pick, f"{schema}, _draws array<int>")
+    return spread.groupBy(*keys).cogroup(beside_slices.groupBy(*keys)).applyInArrow(pick, f"{schema}, _draws array<int>")
+
+
+def named_draw(draws: Sequence[Draw], place: Column) -> Column:
+    """Level, majority and seed of the draw at a place of the list."""
     # One literal; thousands of columns would take longer to plan than to run.
     named = json.dumps([{"level": d.level, "majority": d.majority, "seed": d.seed} for d in draws])
     listed = F.from_json(F.lit(named), "array<struct<level: string, majority: string, seed: bigint>>")
-    copies = picked.select(*columns, F.explode("_draws").alias("_at")).withColumn("_d", F.get(listed, F.col("_at")))
+    return F.get(listed, place)
+
+
+def draw_copies(placed: DataFrame, draws: Sequence[Draw]) -> DataFrame:
+    """One copy of a placed row per draw."""
+    columns = [c for c in placed.columns if c != "_draws"]
+    copies = placed.select(*columns, F.explode("_draws").alias("_at")).withColumn("_d", named_draw(draws, F.col("_at")))
     return copies.select(*columns, "_d.level", "_d.majority", "_d.seed")
 
 
+def skewed_draws(
+    df: DataFrame,
+    *,
+    keep: Mapping[str, float] = fixed.SKEW_KEEP,
+    seeds: int = 20,
+    minimum: int = 2,
+    label: str = "prosody_sentiment",
+    slice_rows: int | None = None,
+) -> DataFrame:
+    """Class-imbalanced draws within each speaker, one copy of a row per draw (`draw_places`)."""
+    draws = draw_list(keep, LABELS, seeds)
+    return draw_copies(draw_places(df, draws, minimum=minimum, label=label, slice_rows=slice_rows), draws)
+
+
 def augment_draw(index: DataFrame, *, seed: int = 0, i: str = "i") -> DataFrame:
     """One congruent training row per index and sentiment with a drawn tag, text and voice."""
     tags = {
