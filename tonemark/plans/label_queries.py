@@ -454,18 +454,21 @@ def _(v):
 @query(
     "concat_features",
     with_(FEATS)
-    + """SELECT clip_id, 80::BIGINT AS width, round(features[1], 6) AS first_value,
-      round(features[16], 6) AS last_value FROM feats""",
+    + """SELECT clip_id, 128::BIGINT AS width, round(features[1], 6) AS first_value,
+      round(features[64], 6) AS middle_value, round(features[1] * features[1], 6) AS next_value,
+      round(features[64] * features[64], 6) AS last_value FROM feats""",
 )
 def _(v):
     left = v.features.select("clip_id", F.col("features").alias("a"))
-    right = v.features.select("clip_id", F.slice("features", 1, 16).alias("b"))
+    right = v.features.select("clip_id", F.transform("features", lambda x: x * x).alias("b"))
     both = left.join(right, "clip_id").select("clip_id", F.concat("a", "b").alias("f"))
     return tidy(
         both.select(
             "clip_id",
             F.size("f").alias("width"),
             F.col("f")[0].alias("first_value"),
+            F.col("f")[63].alias("middle_value"),
+            F.col("f")[64].alias("next_value"),
             F.element_at("f", -1).alias("last_value"),
         )
     )
@@ -578,14 +581,13 @@ def _(v):
     "suspicious_flag",
     with_(CLIPS, PREDS)
     + """, r AS (SELECT solution, emotion_tag, avg((sentiment = prosody_sentiment)::INT::DOUBLE)
-        AS u FROM preds WHERE confidence > 0.6 GROUP BY ALL)
+        AS u FROM preds GROUP BY ALL)
     SELECT solution, emotion_tag, round(u, 6) AS uar, u > 0.9 AS suspicious FROM r""",
 )
 def _(v):
     from tonemark.operators.scoring import suspicious
 
-    rows = joined(v).where("confidence > 0.6")
-    scored = metrics.summarise(rows, ["solution", "emotion_tag"], ["uar"])
+    scored = metrics.summarise(joined(v), ["solution", "emotion_tag"], ["uar"])
     return tidy(scored.withColumn("suspicious", suspicious(F.col("uar"))))
 
 
@@ -731,12 +733,11 @@ def _(v):
 @query(
     "join_features",
     with_(FEATS)
-    + """SELECT clip_id, prosody_sentiment, round(list_sum(features), 6) AS total FROM feats
-    WHERE split <> 'val'""",
+    + """SELECT clip_id, prosody_sentiment, round(list_sum(features), 6) AS total FROM feats""",
 )
 def _(v):
-    store = v.features.where("split <> 'val'").select("clip_id", "features")
-    rows = joins.join_features(v.features.drop("features"), store)
+    store = v.features.select("clip_id", "features")
+    rows = joins.require_features(v.features.drop("features"), store)
     return tidy(
         rows.select(
             "clip_id", "prosody_sentiment", arrays.array_sum(F.col("features")).alias("total")
