@@ -175,6 +175,25 @@ def test_a_run_cut_off_midway_keeps_its_commits(spark, tmp_path):
     assert len(store) == 200 and {k for k, v in store.items() if v == 0.0} == kept
 
 
+def test_an_append_reads_its_input_once_and_writes_a_file_a_bucket(spark, tmp_path):
+    path = tmp_path / "store"
+    read = spark.sparkContext.accumulator(0)
+
+    def reading(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    clips = spark.range(300).selectExpr("concat('c', id) AS clip_id", "cast(id AS double) AS payload").repartition(8)
+    counted = clips.mapInArrow(reading, clips.schema)
+    feature_store.append(counted, lambda x: np.array([x, x]), 2, str(path))
+    assert read.value == 300
+    for folder in path.glob("bucket=*"):
+        assert len(list(folder.glob("*.parquet"))) == 1
+    assert feature_store.append(counted, lambda x: np.array([x, x]), 2, str(path)).count() == 300
+    assert read.value == 600
+
+
 def test_missing_features_raise(spark):
     m = rows(spark)
     store = m.where("clip_id = 'c0'").select("clip_id")

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonemark.schema import FEATURES
+from tonemark.sources.storage import new_path
 
 BUCKETS = 64
 # Committed slices of one extraction run.
 COMMITS = 8
+# Clips of one file of the store.
+FILE_ROWS = 500_000
 _STORED = T.StructType([*FEATURES.fields, T.StructField("bucket", T.IntegerType())])
 
 
@@ -74,22 +77,27 @@ def append(
 ) -> DataFrame:
     """Extract only clips the store does not hold yet, append them, return the store.
 
-    Clips are extracted and committed in COMMITS slices of the hash buckets, so a run
-    that is cut off loses one slice and the next run resumes from what is there. Only
-    the buckets of the given clips are read from the store.
+    The input is read once: its clips that are not stored yet are written beside the store's
+    data, dealt by slice. They are extracted and committed in COMMITS slices of the hash
+    buckets, so a run that is cut off loses one slice and the next run resumes from what is
+    there. A slice writes one file of at most about FILE_ROWS clips per bucket and part of it.
     """
     spark = clips.sparkSession
-    wanted = clips.dropDuplicates(["clip_id"]).withColumn("bucket", bucket())
-    present = sorted(r[0] for r in wanted.select("bucket").distinct().collect())  # at most BUCKETS
-    for slice_no in range(COMMITS):
-        own = [b for b in present if b % COMMITS == slice_no]
-        if not own:
-            continue
-        part = wanted.where(F.col("bucket").isin(own))
-        held = _stored(spark, path).where(F.col("bucket").isin(own))
-        fresh = extract(uncached(part, held), embed, width, payload)
-        keyed = fresh.withColumn("bucket", bucket())
-        keyed.write.mode("append").partitionBy("bucket").parquet(path)
+    wanted = clips.select("clip_id", payload).dropDuplicates(["clip_id"])
+    staged = new_path(spark, "wanted")
+    keyed = uncached(wanted, scan(spark, path)).withColumn("bucket", bucket())
+    dealt = keyed.withColumn("slice", F.col("bucket") % COMMITS)
+    dealt.write.partitionBy("slice").parquet(staged)
+    fresh = spark.read.schema(dealt.schema).parquet(staged)
+    sizes = fresh.groupBy("slice", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # At most COMMITS rows: buckets of a slice and the clips of its largest one.
+    plan = sizes.groupBy("slice").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    for part in sorted(plan.collect()):
+        files = -(-part["n"] // FILE_ROWS)
+        own = fresh.where(F.col("slice") == part["slice"])
+        vectors = extract(own, embed, width, payload).withColumn("bucket", bucket())
+        spread = F.pmod(F.xxhash64(F.lit("file"), "clip_id"), F.lit(files))
+        vectors.repartition(part["k"] * files, "bucket", spread).write.mode("append").partitionBy("bucket").parquet(path)
     return scan(spark, path)
 
 
