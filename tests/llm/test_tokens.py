@@ -35,12 +35,20 @@ def test_blocks_round_trip(n, top):
 @pytest.mark.parametrize(
     "text",
     ["", " ", "a b", " a", "a ", "a  b", "a\nb", "a \nb", "a\n b", "a\n\nb", "\n", "don't we'll", "a\u00a0b c", "x\0 y", "\x1c a b",
-     "a\u0085b", "<|endoftext|> x", "hello <|endoftext|> x", "a<|endoftext|><|endoftext|>\nb", "<|endo ftext|> x", "\u00c9t\u00e9 \u4f60\u597d \U0001f600!", "a,b ,c .", "12 345 6"],
+     "a\u0085b", "<|endoftext|> x", "hello <|endoftext|> x", "a<|endoftext|><|endoftext|>\nb", "<|endo ftext|> x", "\u00c9t\u00e9 \u4f60\u597d \U0001f600!", "a,b ,c .", "12 345 6",
+     "a  b\tc", "a \n b\u2003c", "\n\u00dfen.\nOn!? \u00e9t\u00e9, \u02b0a e\u0301t ..."],
 )
 def test_pieces_encode_like_the_whole(tokenizer, text):
     assert tokens.encode([text])[0] == ids_of(tokenizer, text, 0)[:-1].astype("<u4").tobytes()
 
 
+def test_latin_words_encode_like_the_library(tokenizer):
+    letters = [chr(x) for x in range(33, 0x370)]
+    texts = [f"x {a}{b}{m}\n{a}{b}" for a in letters for b in ("", "a") for m in ("", ".", "!?")]
+    for text, ids in zip(texts, tokens.encode(texts), strict=True):
+        assert ids == ids_of(tokenizer, text, 0)[:-1].astype("<u4").tobytes(), text
+
+
 def expected_files(tokenizer, rows):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
