@@ -49,6 +49,15 @@ def test_latin_words_encode_like_the_library(tokenizer):
         assert ids == ids_of(tokenizer, text, 0)[:-1].astype("<u4").tobytes(), text
 
 
+def test_full_cache_keeps_its_older_half(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 10)
+    cache = tokens._worker_state(tokens.VOCABULARY)["pieces"]
+    cache.clear()
+    for text in ("one two three four five six seven", "a b c d e f g h", "one h z"):
+        assert tokens.encode([text])[0] == ids_of(tokenizer, text, 0)[:-1].astype("<u4").tobytes()
+    assert list(cache) == ["\0one", "two", "three", "four", "five", "h", "z"]
+
+
 def expected_files(tokenizer, rows):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):

@@ -4,7 +4,7 @@ The byte-level vocabulary never joins a non-space character with a space that fo
 it, so a text may be cut before each single space or line break and every piece encoded
 alone. Texts with any other white space, or with a token that the vocabulary adds (such
 as an end mark, which is one id), go through the library whole. The cache saves
-time only; it is emptied when full, so memory stays bounded. Plain words skip the
+time only; its newer half goes when it is full, so memory stays bounded. Plain words skip the
 library's text normalisation and go to its model directly, with the same ids.
 """
 
@@ -14,11 +14,11 @@ import os
 import sys
 import types
 from array import array
-from itertools import compress
+from itertools import compress, islice
 from operator import not_
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHED_PIECES = 800_000
+CACHED_PIECES = 1_200_000
 WHOLE_BATCH = 64
 
 
@@ -99,7 +99,10 @@ def encode(texts: list[str], vocabulary: str = VOCABULARY) -> list[bytes]:
     tokenizer, cache = state["tokenizer"], state["pieces"]
     texts = [text.encode("utf-8", "replace").decode() for text in texts]
     if len(cache) > CACHED_PIECES:
+        # Frequent pieces come early: the older half stays.
+        older = dict(islice(cache.items(), CACHED_PIECES // 2))
         cache.clear()
+        cache.update(older)
     # Each piece is looked up once; `gaps` are the places of those not seen before.
     cuts: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
     new: set[str] = set()
