@@ -55,7 +55,8 @@ def test_full_cache_keeps_its_older_half(tokenizer, monkeypatch):
     cache.clear()
     for text in ("one two three four five six seven", "a b c d e f g h", "one h z"):
         assert tokens.encode([text])[0] == ids_of(tokenizer, text, 0)[:-1].astype("<u4").tobytes()
-    assert list(cache) == ["\0one", "two", "three", "four", "five", "h", "z"]
+    assert list(cache)[:5] == ["\0one", "two", "three", "four", "five"]
+    assert set(list(cache)[5:]) == {"h", "z"}
 
 
 def expected_files(tokenizer, rows):
