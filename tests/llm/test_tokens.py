@@ -53,10 +53,10 @@ def test_full_cache_keeps_its_older_half(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_PIECES", 10)
     cache = tokens._worker_state(tokens.VOCABULARY)["pieces"]
     cache.clear()
-    for text in ("one two three four five six seven", "a b c d e f g h", "one h z"):
+    for text in ("one two three four five six seven", "a b c d e f g h", "x h z"):
         assert tokens.encode([text])[0] == ids_of(tokenizer, text, 0)[:-1].astype("<u4").tobytes()
-    assert list(cache)[:5] == ["\0one", "two", "three", "four", "five"]
-    assert set(list(cache)[5:]) == {"h", "z"}
+    assert set(list(cache)[:5]) < {"\0one", "two", "three", "four", "five", "six", "seven"}
+    assert set(list(cache)[5:]) == {"\0x", "h", "z"}
 
 
 def expected_files(tokenizer, rows):
