@@ -332,7 +332,8 @@ def _(v):
 
     stem = F.concat_ws(
         "_",
-        F.lpad(F.col("user_id").cast("string"), 4, "0"),
+        # Four digits at least; lpad would cut longer numbers.
+        F.format_string("%04d", F.col("user_id").cast("bigint")),
         pick(SENTENCES, e % 12),
         pick(TAGS, (e * 5 + F.col("user_id")) % 7),
     )
