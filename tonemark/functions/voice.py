@@ -29,6 +29,17 @@ def is_whispered(
     return (hnr <= hnr_max) & (loudness <= loudness_max)
 
 
+def divided_rate(text: Column, seconds: Column) -> Column:
+    """Characters a second as doubles divide: infinite over zero seconds, NULL over NULL."""
+    n = F.length(text).cast("double")
+    none = seconds == 0
+    return (
+        F.when(none & (n > 0), F.lit(float("inf")))
+        .when(none & (n == 0), F.lit(float("nan")))
+        .otherwise(F.try_divide(n, seconds))
+    )
+
+
 def speech_rate(text: Column, seconds: Column, *, default: float | None = 0.0) -> Column:
     rate = F.try_divide(F.length(text).cast("double"), seconds)
     return rate if default is None else F.coalesce(rate, F.lit(default))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonemark.functions.probs import valence_proxy
@@ -18,11 +20,12 @@ def measurement_table(
     *,
     seconds: str,
     frames_key: str = "clip_id",
+    rate: Callable[[Column, Column], Column] = speech_rate,
 ) -> DataFrame:
     """Descriptors and model readings side by side.
 
     Joins are outer on the clip side: an instrument that failed leaves NULLs and
-    the clip stays.
+    the clip stays. `rate` takes text and seconds to characters a second.
     """
     pitch = frames.pitch_stats(frame_rows)
     noise = frames.hnr_mean(frame_rows).withColumnRenamed("hnr_mean", "egemaps_hnr")
@@ -42,7 +45,7 @@ def measurement_table(
         "clip_id",
         F.col("text").alias("carrier"),
         F.col("prosody_sentiment").alias("intended"),
-        speech_rate(F.col("text"), F.col(seconds)).alias("speech_rate_cps"),
+        rate(F.col("text"), F.col(seconds)).alias("speech_rate_cps"),
         F.col(frames_key).alias("_frames"),
     )
     joined = lookup_join(
