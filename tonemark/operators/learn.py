@@ -269,7 +269,10 @@ def fit_linear_svm(frame, weights, prep, n, folds: int = 3) -> Classifier:
     """
     k = len(weights)
     order = [F.col("y"), stable_hash("fold", F.col("clip_id")), F.col("clip_id")]
-    folded = global_order(frame, order).withColumn("fold", F.col("position") % folds)
+    placed = global_order(frame.select("clip_id", "y", "w", "x"), order)
+    fold = (F.col("position") % folds).alias("fold")
+    # Every fit reads it several times.
+    folded = placed.select("y", "w", "x", fold).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(fold: int, c: int):
         target = (F.col("y") == float(c)).cast("double")
@@ -280,7 +283,7 @@ def fit_linear_svm(frame, weights, prep, n, folds: int = 3) -> Classifier:
         ).fit(seen)
         coef, bias = svc.coefficients.toArray(), float(svc.intercept)
         margins = held.select(
-            "t", "w", array_to_vector(F.array(_dot(F.col("_x"), coef, bias))).alias("m")
+            "t", "w", array_to_vector(F.array(_dot(vector_to_array("x"), coef, bias))).alias("m")
         )
         platt = LogisticRegression(
             featuresCol="m", labelCol="t", weightCol="w", maxIter=50
@@ -291,6 +294,7 @@ def fit_linear_svm(frame, weights, prep, n, folds: int = 3) -> Classifier:
     fits = dict(
         zip(plan, in_parallel([lambda f=f, c=c: one(f, c) for f, c in plan]), strict=True)
     )
+    folded.unpersist()
 
     def add(df: DataFrame) -> DataFrame:
         per_fold = []

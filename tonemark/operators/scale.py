@@ -197,7 +197,8 @@ def global_order(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
 
     The order ends in a tie column, so a heavy tie is cut like any other range. An id
     given after the sort holds the partition and the place in it; places are shifted by
-    the rows of earlier partitions, a running sum over one row per partition.
+    the rows of earlier partitions, a running sum over one row per partition. That is small
+    but derived from the table, so its join would shuffle every read without the hint.
     """
     spark = rows.sparkSession
     path = new_path(spark, "ordered")
@@ -226,7 +227,7 @@ def global_order(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         stored.withColumn("_part", part)
-        .join(offsets, "_part")
+        .join(F.broadcast(offsets), "_part")
         .withColumn("position", (place + F.col("_before") + 1).cast("bigint"))
         .drop("_part", "_at", "_before")
     )
