@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -248,6 +248,90 @@ def cut_finder(
     return beside(sizes, cut_lists, groups)
 
 
+def _kept_whole(ids: list[str | None], at: int, draws: Sequence[Draw], minimum: int) -> np.ndarray:
+    """Rows by draws, true where the draw keeps the row; `ids` are a whole group of class `at`."""
+    n = len(ids)
+    kept = np.ones((n, len(draws)), bool)
+    by_need: dict[int, list[int]] = {}
+    for k, d in enumerate(draws):
+        if d.slots[at] is not None:
+            by_need.setdefault(min(n, max(minimum, round(d.keep * n))), []).append(k)
+    for need, places in by_need.items():
+        h = np.stack([_hashes(draws[k].prefix, ids) for k in places])
+        last = np.partition(h, need - 1, axis=1)[:, need - 1 : need]
+        inside = h <= last
+        for i in np.flatnonzero(inside.sum(axis=1) > need):
+            # Equal hashes at the cut: the smaller ids, equal ids together.
+            same = np.flatnonzero(h[i] == last[i])
+            cut = sorted((_by_id(ids[k]) for k in same))[need - 1 - int((h[i] < last[i]).sum())]
+            inside[i, same] = [_by_id(ids[k]) <= cut for k in same]
+        kept[:, places] = inside.T
+    return kept
+
+
+def _kept_by_cuts(ids: list[str | None], at: int, draws: Sequence[Draw], cuts: Sequence[dict]) -> np.ndarray:
+    """The same of a slice of a group, whose cuts are known."""
+    kept = np.ones((len(ids), len(draws)), bool)
+    for k, d in enumerate(draws):
+        if d.slots[at] is not None:
+            h, last = _hashes(d.prefix, ids), cuts[d.slots[at]]
+            kept[:, k] = h <= last["h"]
+            for i in np.flatnonzero(h == last["h"]):
+                kept[i, k] = _by_id(ids[i]) <= _by_id(last["id"])
+    return kept
+
+
+def _drawn(
+    df: DataFrame,
+    draws: Sequence[Draw],
+    emit: Callable[[pa.Table, np.ndarray], pa.Table],
+    schema: str,
+    *,
+    minimum: int,
+    label: str,
+    slice_rows: int | None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """What `emit` makes of the rows of a group and their places in the draws.
+
+    A group of at most `slice_rows` rows is drawn whole in one task, its ids hashed once. The
+    slices of larger groups, the second table, meet the cuts that `cut_finder` found.
+    """
+    groups, spark = ["speaker_id", label], df.sparkSession
+    columns, known = df.columns, df.where(F.col(label).isin(*LABELS))
+    path = new_path(spark, "large")
+    sizes = known.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_n"))
+    # At most rows / slice_rows groups.
+    sizes.where(F.col("group_n") > (slice_rows or SLICE_ROWS)).select(*groups, F.lit(True).alias("_large")).write.parquet(path)
+    large = spark.read.schema(f"speaker_id {dict(df.dtypes)['speaker_id']}, `{label}` string, _large boolean").parquet(path)
+    several = not large.isEmpty()
+    marked = beside(known, F.broadcast(large), groups) if several else known
+
+    def whole(rows: pa.Table) -> pa.Table:
+        at, ids = LABELS.index(rows.column(label)[0].as_py()), rows.column("clip_id").cast(pa.string()).to_pylist()
+        return emit(rows.select(columns), _kept_whole(ids, at, draws, minimum))
+
+    small = marked.where("_large is null").drop("_large") if several else known
+    out = small.repartition(partitions(spark), *groups).groupBy(*groups).applyInArrow(whole, schema)
+    if not several:
+        return out, None
+    hot = marked.where("_large").drop("_large")
+    cuts = cut_finder(hot, groups, label, draws, minimum=minimum, slice_rows=slice_rows)
+    sized = lookup_join(hot, cuts.select(*groups, "group_n"), groups, count_col="group_n", spread_by="clip_id")
+    slices = slices_of(slice_rows)
+    dealt = sized.select(*columns, F.pmod(F.xxhash64("clip_id"), slices).cast("int").alias("_slice"))
+    beside_slices = cuts.select(*groups, "cuts", F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice"))
+
+    def pick(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return emit(rows.select(columns), np.ones((0, len(draws)), bool))
+        at, ids = LABELS.index(rows.column(label)[0].as_py()), rows.column("clip_id").cast(pa.string()).to_pylist()
+        return emit(rows.select(columns), _kept_by_cuts(ids, at, draws, found.column("cuts")[0].as_py()))
+
+    spread = dealt.repartition(partitions(spark), *groups, "_slice")
+    keys = [*groups, "_slice"]
+    return out, spread.groupBy(*keys).cogroup(beside_slices.groupBy(*keys)).applyInArrow(pick, schema)
+
+
 def draw_places(
     df: DataFrame,
     draws: Sequence[Draw],
@@ -259,37 +343,78 @@ def draw_places(
     """Rows of known classes with `_draws`, the places of their draws in the list of draws.
 
     The majority class keeps every row, another class the max(minimum, round(keep*n)) rows of
-    the smallest hashes. The cut of every draw is found first; rows then move once, in slices
-    of their group, meet its cuts and leave the task with the list of their draws.
-    Rows of no known class are in no draw; rows of equal id go together.
+    the smallest hashes. Rows move once, with their group or a slice of it, and leave the task
+    with the list of their draws. Rows of no known class are in no draw; rows of equal id go
+    together.
     """
-    groups = ["speaker_id", label]
-    columns, known = df.columns, df.where(F.col(label).isin(*LABELS))
-    cuts = cut_finder(known, groups, label, draws, minimum=minimum, slice_rows=slice_rows)
-    sized = lookup_join(known, cuts.select(*groups, "group_n"), groups, count_col="group_n", spread_by="clip_id")
-    slices = slices_of(slice_rows)
-    dealt = sized.select(*columns, F.pmod(F.xxhash64("clip_id"), slices).cast("int").alias("_slice"))
-    beside_slices = cuts.select(*groups, "cuts", F.explode(F.sequence(F.lit(0), slices - 1)).alias("_slice"))
 
-    def pick(rows: pa.Table, found: pa.Table) -> pa.Table:
-        kept = np.ones((rows.num_rows, len(draws)), bool)
-        if rows.num_rows:
-            at, ids = LABELS.index(rows.column(label)[0].as_py()), rows.column("clip_id").cast(pa.string()).to_pylist()
-            held = found.column("cuts")[0].as_py()
-            for k, d in enumerate(draws):
-                if d.slots[at] is not None:
-                    h, last = _hashes(d.prefix, ids), held[d.slots[at]]
-                    kept[:, k] = h <= last["h"]
-                    for i in np.flatnonzero(h == last["h"]):
-                        kept[i, k] = _by_id(ids[i]) <= _by_id(last["id"])
+    def listed(rows: pa.Table, kept: np.ndarray) -> pa.Table:
         offsets = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
         places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(kept)[1].astype(np.int32)))
-        return rows.select(columns).append_column("_draws", places)
+        return rows.append_column("_draws", places)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    spread = dealt.repartition(partitions(df.sparkSession), *groups, "_slice")
-    keys = [*groups, "_slice"]
-    return spread.groupBy(*keys).cogroup(beside_slices.groupBy(*keys)).applyInArrow(pick, f"{schema}, _draws array<int>")
+    whole, sliced = _drawn(df, draws, listed, f"{schema}, _draws array<int>", minimum=minimum, label=label, slice_rows=slice_rows)
+    return whole if sliced is None else whole.unionByName(sliced)
+
+
+def draw_totals(
+    df: DataFrame,
+    draws: Sequence[Draw],
+    values: Sequence[str],
+    *,
+    minimum: int = 2,
+    label: str = "prosody_sentiment",
+    slice_rows: int | None = None,
+) -> DataFrame:
+    """Per draw (level, majority, seed), speaker and class: its rows n and sums of integer columns.
+
+    Totals leave the task instead of copies. Only those of a large group's slices are added up.
+    """
+    keys = ["speaker_id", label]
+
+    def added(rows: pa.Table, kept: np.ndarray) -> pa.Table:
+        n = kept.sum(axis=0)
+        at = np.flatnonzero(n)
+        heads = pa.array(np.zeros(len(at), np.int64))
+        columns = [rows.column(c).take(heads) for c in keys]
+        columns += [pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))]
+        for c in values:
+            there = rows.column(c).is_valid().to_numpy().astype(np.int64)
+            held = rows.column(c).fill_null(0).to_numpy().astype(np.int64)
+            columns.append(pa.array(held @ kept[:, at], pa.int64(), mask=there @ kept[:, at] == 0))
+        return pa.table(columns, [*keys, "d", "n", *values])
+
+    schema = f"speaker_id {dict(df.dtypes)['speaker_id']}, `{label}` string, d int, n bigint"
+    schema += "".join(f", `{c}` bigint" for c in values)
+    whole, sliced = _drawn(
+        df.select("clip_id", *keys, *values), draws, added, schema, minimum=minimum, label=label, slice_rows=slice_rows
+    )
+    if sliced is not None:
+        merged = sliced.groupBy(*keys, "d").agg(*[F.sum(c).alias(c) for c in ("n", *values)])
+        whole = whole.unionByName(merged)
+    named = whole.withColumn("_d", named_draw(draws, F.col("d")))
+    return named.select("_d.level", "_d.majority", "_d.seed", *keys, "n", *values)
+
+
+def draw_sizes(
+    df: DataFrame,
+    *,
+    keep: Mapping[str, float] = fixed.SKEW_KEEP,
+    minimum: int = 2,
+    label: str = "prosody_sentiment",
+) -> DataFrame:
+    """Per level, majority, speaker and class: its rows n in every draw, whatever the seed.
+
+    A draw keeps a number of rows that the size of the group alone decides, so none is made.
+    """
+    sizes = df.where(F.col(label).isin(*LABELS)).groupBy("speaker_id", label).agg(F.count(F.lit(1)).alias("_n"))
+    kinds = [F.struct(F.lit(k).alias("level"), F.lit(float(s)).alias("share"), F.lit(m).alias("majority")) for k, s in keep.items() for m in LABELS]
+    each = sizes.withColumn("_k", F.explode(F.array(*kinds))).select("*", "_k.*")
+    quota = F.greatest(F.bround(F.col("share") * F.col("_n")).cast("bigint"), F.lit(minimum).cast("bigint"))
+    thinned = (F.col("share") < 1) & (F.col(label) != F.col("majority"))
+    n = F.when(thinned, F.least(F.col("_n"), quota)).otherwise(F.col("_n"))
+    return each.select("level", "majority", "speaker_id", label, n.alias("n"))
 
 
 def named_draw(draws: Sequence[Draw], place: Column) -> Column:
