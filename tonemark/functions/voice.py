@@ -32,12 +32,8 @@ def is_whispered(
 def divided_rate(text: Column, seconds: Column) -> Column:
     """Characters a second as doubles divide: infinite over zero seconds, NULL over NULL."""
     n = F.length(text).cast("double")
-    none = seconds == 0
-    return (
-        F.when(none & (n > 0), F.lit(float("inf")))
-        .when(none & (n == 0), F.lit(float("nan")))
-        .otherwise(F.try_divide(n, seconds))
-    )
+    # The power keeps the sign of a zero.
+    return F.when(seconds == 0, n * F.pow(seconds, F.lit(-1.0))).otherwise(F.try_divide(n, seconds))
 
 
 def speech_rate(text: Column, seconds: Column, *, default: float | None = 0.0) -> Column:
