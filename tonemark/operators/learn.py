@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ from tonemark.functions.labels import literal_map
 from tonemark.operators import metrics
 from tonemark.operators.folded import Linear
 from tonemark.operators.medians import vector_medians
-from tonemark.operators.normalise import feature_stats
+from tonemark.operators.normalise import EPS, feature_stats
 from tonemark.operators.scale import global_order
 from tonemark.operators.scoring import prediction_columns
 from tonemark.schema import LABELS
@@ -43,6 +43,27 @@ LABEL = "prosody_sentiment"
 PARALLEL_FITS = 8
 # Labelled rows of one leave-one-group-out fit: more are thinned by hash.
 FIT_ROWS = 1_000_000
+# Rows of one task of a fit. Iterative fits run thousands of short jobs whose cost is their
+# tasks, and many run at a time: more tasks a job only pay once a task has this many rows.
+TASK_ROWS = 50_000
+
+
+def fit_tasks(n: int) -> int:
+    """Partitions of a table of n rows that a fit reads over and over."""
+    return max(1, -(-n // TASK_ROWS))
+
+
+def standardised(models: dict[str, Classifier]) -> dict[str, Classifier] | None:
+    """The same models for rows that were scaled by their training set's figures beforehand.
+
+    Fits scale their rows, so they see the same vectors either way and need not run twice.
+    None where that does not hold: gaps, or a dimension that scaling takes as constant.
+    """
+    preps = [m.prep for m in models.values()]
+    if any(p.medians is not None or any(0 < s < EPS for s in p.stds) for p in preps):
+        return None
+    unit = Preprocessing(None, [0.0] * len(preps[0].means), [1.0] * len(preps[0].means))
+    return {name: replace(m, prep=unit, linear=None) for name, m in models.items()}
 
 
 def in_parallel(jobs: Sequence[Callable[[], object]]) -> list:
@@ -136,8 +157,10 @@ def training_frame(
     weights: dict[str, float],
     label: str = LABEL,
     balanced: bool = True,
+    n: int | None = None,
 ) -> DataFrame:
-    """The pruned frame every fit of a call reads: id, label index, weight, vector."""
+    """The pruned frame every fit of a call reads: id, label index, weight, vector; in as many
+    partitions as its `n` rows are worth."""
     classes = F.array(*[F.lit(c) for c in weights])
     w = F.element_at(literal_map(weights), F.col(label)) if balanced else F.lit(1.0)
     kept = prep.apply(train).select(
@@ -147,6 +170,8 @@ def training_frame(
         "_x",
         array_to_vector("_x").alias("x"),
     )
+    if n is not None:
+        kept = kept.coalesce(fit_tasks(n))
     return kept.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -272,7 +297,7 @@ def fit_linear_svm(frame, weights, prep, n, folds: int = 3) -> Classifier:
     placed = global_order(frame.select("clip_id", "y", "w", "x"), order)
     fold = (F.col("position") % folds).alias("fold")
     # Every fit reads it several times.
-    folded = placed.select("y", "w", "x", fold).persist(StorageLevel.MEMORY_AND_DISK)
+    folded = placed.select("y", "w", "x", fold).coalesce(fit_tasks(n)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(fold: int, c: int):
         target = (F.col("y") == float(c)).cast("double")
@@ -420,7 +445,7 @@ def fit(
     if len(weights) < 2:
         raise ValueError("training rows hold fewer than two classes")
     prep = fit_preprocessing(train, width, impute=impute)
-    frame = training_frame(train, prep, weights)
+    frame = training_frame(train, prep, weights, n=n)
     try:
         fitted = in_parallel([lambda f=FITTERS[x]: f(frame, weights, prep, n) for x in names])
     finally:
