@@ -109,8 +109,8 @@ def skew(
     placed = stored(draw_places(evaluation, listed))
     cell = ["t", "x", "p", "n"]
     parts = []
-    for scheme in schemes:
-        fitted = learn.fit(normalise(train, scheme, width), width, models)
+    fits = learn.in_parallel([lambda s=s: learn.fit(normalise(train, s, width), width, models) for s in schemes])
+    for scheme, fitted in zip(schemes, fits, strict=True):
         linear = {k: m.linear for k, m in fitted.items() if fold and m.linear and scheme == "speaker_z"}
         copied = {k: m for k, m in fitted.items() if k not in linear}
         counted = []
